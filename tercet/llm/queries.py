@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, mixing, toxicity
+from . import decontamination, jaccard, line_dedup, mixing, toxicity
 from .common import table
 
 
@@ -23,13 +23,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op8_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op8_mixing, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.oracle(), "op10_decontamination": decontamination.oracle()}
+    return {"op1_line_dedup": line_dedup.oracle(), "op9_jaccard_join": jaccard.oracle(), "op10_decontamination": decontamination.oracle()}
