@@ -267,6 +267,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, back: bool = False, colum
     follows the text's length. With `back` and the same key, values come back. An empty table gives an empty table. No shuffle.
     """
     own = docs.drop(count) if count in docs.columns else docs
+    columns = own.columns
     has_length = dict(own.dtypes).get("n_chars") in ("int", "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +277,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, back: bool = False, colum
             arrays = {column: pa.array([t for t, _ in found], pa.string())}
             if has_length:
                 arrays["n_chars"] = pa.array([None if t is None else len(t) for t, _ in found], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([*(arrays.get(f.name, c) for f, c in zip(batch.schema, batch.columns)), pa.array([n for _, n in found], pa.int64())], names=[*own.columns, count])
+            yield pa.RecordBatch.from_arrays([*(arrays.get(f.name, c) for f, c in zip(batch.schema, batch.columns)), pa.array([n for _, n in found], pa.int64())], names=[*columns, count])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(count, T.LongType())]))
 
