@@ -140,6 +140,22 @@ def ngram_hashes(words: np.ndarray, begins: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def same(a: str, b: str) -> F.Column:
-    """Equality for which null equals null."""
-    return F.col(a).eqNullSafe(F.col(b))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df hasn't, like the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def least_hashed(rows: DataFrame, column: str, most: int, *ties: str) -> DataFrame:
+    """The `most` rows of least hash of a column. A count tells which hashes may be among them, so that few other rows are sorted or sent."""
+    n = rows.count()
+    likely = (most + 10 * most**0.5 + 100) / max(n, 1)
+    h = F.xxhash64(column)
+    if likely < 1:
+        rows = rows.where(h < int(likely * 2**64) - 2**63)
+    return rows.orderBy(h, column, *ties).limit(most)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_buffer, pieces
+from .common import as_buffer, fresh, pieces
 
 BLOCK = 8
 TABLE_BITS = 20
@@ -181,8 +181,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, most_byte
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents, all columns, in which no text of the benchmark occurs. A document with a
     null doc_id stays unless some document with a null doc_id matches."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    (name,) = fresh(docs, "__bad")
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def oracle(n: int = 8) -> str:

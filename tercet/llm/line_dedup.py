@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reduce_partitions, written
+from .common import fresh, reduce_partitions, written
 
 BLANK = " \t\r\f\v"
 SEGMENT_BITS = 1 << 20
@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 4, bits_per_byte: float = 0
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "__gone"))
+            texts, gone = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", its_gone))
             kept, new = [], []
             for t, g in zip(texts, gone):
                 if g:
@@ -166,17 +166,18 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 4, bits_per_byte: float = 0
             yield pa.RecordBatch.from_arrays([arrays.get(f.name, c) for f, c in zip(batch.schema, batch.columns)][:-1], names=columns).filter(pa.array(kept, pa.bool_()))
 
     columns = docs.columns
+    its_id, its_copy, its_gone, its_key = fresh(docs, "__id", "__copy", "__gone", "__key")
     has_length = dict(docs.dtypes).get("n_chars") in ("int", "bigint")
     # Rows that share a doc_id are told apart by a hash of their text.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     found = written(keyed.mapInArrow(suspects, "doc_id long, copy long, at int, line string"))
     place = F.struct("doc_id", "copy", "at")
     firsts = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(firsts, "line").where(place != F.col("first")).groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("at").alias("__gone"))
+    gone = found.join(firsts, "line").where(place != F.col("first")).groupBy(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy)).agg(F.collect_set("at").alias(its_gone))
     clean = docs.mapInArrow(with_suspects(False), docs.schema)
-    mixed = docs.mapInArrow(with_suspects(True), docs.schema).withColumn("__key", F.xxhash64("text"))
-    joined = mixed.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__copy")), "left")
-    return clean.unionByName(joined.select(*docs.columns, "__gone").mapInArrow(rebuild, docs.schema))
+    mixed = docs.mapInArrow(with_suspects(True), docs.schema).withColumn(its_key, F.xxhash64("text"))
+    joined = mixed.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(its_key) == F.col(its_copy)), "left")
+    return clean.unionByName(joined.select(*docs.columns, its_gone).mapInArrow(rebuild, docs.schema))
 
 
 def oracle(min_words: int = 4) -> str:

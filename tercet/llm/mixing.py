@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, reduce_partitions, written
+from .common import fresh, mix, reduce_partitions, written
 
 SCHEMA = "source string, doc_id long, cell long, fraction double, settled int"
 CELL = 50_000
@@ -131,6 +131,7 @@ def copies(docs: DataFrame, weights: Mapping[str, float] | None = None, *, power
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options: float) -> DataFrame:
     """docs with a column copies (of that name, it replaces docs' own); documents of no copies go."""
-    plan = copies(docs, weights, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    its_id, its_copies = fresh(docs, "__id", "__copies")
+    plan = copies(docs, weights, **options).where("copies > 0").select(F.col("doc_id").alias(its_id), F.col("copies").alias(its_copies))
     own = [c for c in docs.columns if c != "copies"]
-    return docs.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(*own, F.col("__copies").alias("copies"))
+    return docs.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(its_id))).select(*own, F.col(its_copies).alias("copies"))
