@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, jaccard, line_dedup, mixing, pii, quality, toxicity
+from . import ann, decontamination, html_extract, jaccard, line_dedup, lm_scoring, mixing, pii, quality, toxicity
 from .common import table
 
 
@@ -24,6 +24,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.model_of(pages))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.trained(docs))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
@@ -45,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op6_pii, op7_quality, op8_mixing, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_html_extraction, op4_lm_scoring, op5_nearest_neighbours, op6_pii, op7_quality, op8_mixing, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

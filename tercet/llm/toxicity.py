@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 #: The compressor doesn't look for matches in an input's last bytes; these follow each window.
 TAIL = bytes(range(1, 13))
 #: This precedes each window and ends both dictionaries' ordinary part, so that each window is coded as a
@@ -148,8 +150,10 @@ def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384,
 
 
 def model_of(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, **options: float) -> ToxicityModel:
-    """The model of at most `sample` labelled documents; rows without id, label or text don't count."""
-    chosen = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).dropna().dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    """The model of at most `sample` labelled documents; rows without id, label or text don't count,
+    and a doc_id labelled twice is toxic if one label says so."""
+    chosen = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).dropna().groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
+    chosen = least_hashed(chosen, "__id", sample)
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where("text is not null").select("doc_id", "text", "lang", "__toxic").collect()
     rows.sort(key=lambda r: (hash((r["doc_id"], 7)), r["text"]))
     return fit([(r["text"], r["lang"], bool(r["__toxic"])) for r in rows], **options)
