@@ -5,13 +5,473 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import captions, decisions, extract, requests, responses, signatures, statistics, tristate, vocabulary
+from . import fixtures
+from .fixtures import CATEGORIES, FEATURES, LEXICON, MAPPING, ORDER_FEATURES, table
+from .oracles import ORACLES
 
 FLAGSHIP = "coverage"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CONFUSED = [("en", "de"), ("de", "en"), ("fr", "es"), ("es", "fr"), ("en", "xx")]
+BY = "lang"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def confused(spark: SparkSession) -> DataFrame:
+    return values(spark, "true_label string, confused_with string", CONFUSED)
+
+
+@query
+def coverage(spark, d):
+    return statistics.coverage(fixtures.documents(spark, d), FEATURES)
+
+
+@query
+def coverage_wide_vs_long(spark, d):
+    return statistics.coverage_of_long(tristate.to_long(fixtures.documents(spark, d), FEATURES))
+
+
+@query
+def coverage_of_order_lines(spark, d):
+    return statistics.coverage(fixtures.lines(spark, d), ORDER_FEATURES)
+
+
+@query
+def informed_gap(spark, d):
+    return statistics.gap(fixtures.documents(spark, d), fixtures.questionnaire(spark, d), MAPPING)
+
+
+@query
+def coverage_report(spark, d):
+    return statistics.coverage_report(statistics.coverage(fixtures.documents(spark, d), FEATURES), MAPPING, CATEGORIES)
+
+
+@query
+def mutual_information(spark, d):
+    return statistics.mutual_information(fixtures.documents(spark, d), FEATURES, BY)
+
+
+@query
+def chi_square_cramers_v(spark, d):
+    return statistics.chi_square(fixtures.documents(spark, d), FEATURES, BY)
+
+
+@query
+def chi_square_p_values(spark, d):
+    return statistics.with_p_value(statistics.chi_square(fixtures.documents(spark, d), FEATURES, BY))
+
+
+@query
+def classwise_odds(spark, d):
+    return statistics.classwise_odds(fixtures.documents(spark, d), FEATURES, BY, top=8)
+
+
+@query
+def odds_of_order_lines(spark, d):
+    return statistics.classwise_odds(fixtures.lines(spark, d), ORDER_FEATURES, "priority")
+
+
+@query
+def questionnaire(spark, d):
+    odds = statistics.classwise_odds(fixtures.documents(spark, d), FEATURES, BY)
+    clusters = signatures.clusters_of(confused(spark), {"all": ["en", "de", "fr", "es"], "en": ["fr"]})
+    return statistics.questionnaire(odds, clusters, {"lex_a_the": "Is the article there?"}, top=5)
+
+
+@query
+def importance_context(spark, d):
+    wide = fixtures.documents(spark, d)
+    gaps = statistics.gap(wide, fixtures.questionnaire(spark, d), MAPPING)
+    return statistics.importance_in_context(statistics.importance(wide, FEATURES, BY), gaps, list(MAPPING))
+
+
+@query
+def phi_matrix(spark, d):
+    return statistics.phi_matrix(fixtures.documents(spark, d), FEATURES, BY, top=6)
+
+
+@query
+def strongest_correlations(spark, d):
+    return statistics.strongest(statistics.phi_matrix(fixtures.documents(spark, d), FEATURES, BY), top=5)
+
+
+@query
+def redundant_pairs(spark, d):
+    return statistics.redundant_pairs(fixtures.documents(spark, d), FEATURES, threshold=0.2)
+
+
+@query
+def redundant_order_lines(spark, d):
+    return statistics.redundant_pairs(fixtures.lines(spark, d), ORDER_FEATURES, threshold=0.3)
+
+
+def _singles(spark, d, part=False):
+    wide = fixtures.documents(spark, d)
+    wide = fixtures.subset(wide) if part else wide
+    return wide, signatures.singles(wide, FEATURES, BY)
+
+
+@query
+def signature_singles(spark, d):
+    return _singles(spark, d)[1].drop("feature_idx", "n")
+
+
+@query
+def signature_pairs(spark, d):
+    wide, own = _singles(spark, d)
+    return signatures.pairs(wide, FEATURES, BY, own).drop("i", "j")
+
+
+@query
+def signature_triplets(spark, d):
+    wide, own = _singles(spark, d)
+    return signatures.triplets(wide, FEATURES, BY, own)
+
+
+def _completeness(spark, d):
+    wide, own = _singles(spark, d)
+    part = fixtures.subset(wide)
+    theirs = statistics.counts(part, FEATURES, BY).select("label", "feature", F.try_divide((F.col("n1") + F.col("n0")) * 1.0, F.col("n")).alias("pct_informed"), F.try_divide(F.col("n1") * 1.0, F.col("n")).alias("pct_present"))
+    pairs = statistics._named(statistics.pair_counts(part, FEATURES, BY), FEATURES)
+    pairs = pairs.select("label", "feature_1", "feature_2", statistics.phi(*(F.col(c) for c in ("n", "n11", "n1x", "nx1"))).alias("their_phi"))
+    own_pairs = signatures.pairs(wide, FEATURES, BY, own)
+    return own, own_pairs, signatures.completeness(own, own_pairs, theirs, pairs)
+
+
+@query
+def completeness(spark, d):
+    return _completeness(spark, d)[2]
+
+
+@query
+def signature_summary(spark, d):
+    return signatures.summary(*_completeness(spark, d))
+
+
+@query
+def confusion_singles(spark, d):
+    return signatures.confusion_singles(_singles(spark, d)[1], confused(spark))
+
+
+@query
+def confusion_pairs(spark, d):
+    wide, own = _singles(spark, d)
+    return signatures.confusion_pairs(signatures.pairs(wide, FEATURES, BY, own), confused(spark))
+
+
+@query
+def weighted_gap(spark, d):
+    wide, own = _singles(spark, d)
+    return signatures.weighted(signatures.confusion_singles(own, confused(spark)), statistics.mutual_information(wide, FEATURES, BY))
+
+
+@query
+def jaccard_labels(spark, d):
+    return signatures.label_similarity(_singles(spark, d)[1], top=6)
+
+
+@query
+def cross_dataset_overlap(spark, d):
+    return signatures.cross_dataset(_singles(spark, d)[1], _singles(spark, d, True)[1], top=5)
+
+
+@query
+def upgma_clusters(spark, d):
+    return signatures.label_clusters(signatures.label_similarity(_singles(spark, d)[1], top=6), cut=0.7)
+
+
+@query
+def blend_scores(spark, d):
+    ev = table(spark, d, "events")
+    side = lambda k: ev.where(F.col("user_id") % 3 != k).groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("condition")).agg(F.bround(F.avg("value"), 4).alias("score"))
+    mixed = ev.where(F.col("user_id") % 3 == 2).groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("condition")).agg(F.bround(F.max("value"), 4).alias("score"))
+    return decisions.blended(side(0), mixed.union(side(2)))
+
+
+@query
+def dedup_captions(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    return captions.first_of_each(docs, "text", "doc_id", BY).select("doc_id", "lang", "source")
+
+
+@query
+def dedup_stats(spark, d):
+    return captions.dedup_stats(table(spark, d, "documents"), "text")
+
+
+@query
+def replicate_vectors(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    unique = captions.first_of_each(docs.where("lang <> 'es'"), "text", "doc_id")
+    known = tristate.keyword_matrix(unique, "text", LEXICON, ["text"])
+    return captions.replicate(docs, "text", known, FEATURES, ["doc_id"])
+
+
+def _progress(spark, d):
+    texts = table(spark, d, "documents").select(F.md5("text").alias("text"), "lang").distinct()
+    done = texts.where("lang in ('en', 'de')").select("text").distinct()
+    failed = texts.where("lang = 'de'").select("text").distinct()
+    return texts.select("text").distinct(), done, failed
+
+
+@query
+def resume_remaining(spark, d):
+    texts, done, failed = _progress(spark, d)
+    return captions.remaining(texts, done, failed)
+
+
+@query
+def failed_requeue(spark, d):
+    texts, done, failed = _progress(spark, d)
+    return captions.remaining(texts, done, failed).join(failed, "text", "left_semi").agg(F.count("*").alias("n_requeued"))
+
+
+@query
+def stratified_sample(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return captions.stratified_sample(docs, "lang", "source", "doc_id", tiers=((500, 100), (100, 60), (20, 20)))
+
+
+@query
+def sample_tiers(spark, d):
+    return captions.tiers_of(table(spark, d, "documents"), "lang", (500, 120, 20))
+
+
+@query
+def batch_assignment(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return captions.batches(docs, "lang", "doc_id", 15)
+
+
+@query
+def request_prompts(spark, d):
+    said = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+    rows = requests.request_rows(captions.batches(said, "role", "id", 6), "role", "id", "text")
+    return requests.request_lines(rows, "role", "small", 512).select("custom_id", F.get_json_object("line", "$.body.messages[0].content").alias("prompt"), F.get_json_object("line", "$.body.max_tokens").cast("long").alias("max_tokens"))
+
+
+@query
+def chunk_plan(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"), requests.tokens(F.char_length("text"), F.lit(200)).alias("tokens"))
+    return requests.chunks(docs, "source", "doc_id", most_jobs=20, most_bytes=10_000_000, most_tokens=20_000)
+
+
+@query
+def cost_estimate(spark, d):
+    docs = table(spark, d, "documents").groupBy("lang").agg(F.sum(requests.tokens(F.char_length("text"), F.lit(0))).alias("input_tokens"), (F.count("*") * 90).alias("output_tokens"))
+    model = F.when(F.col("lang") == "en", "small").when(F.col("lang") == "de", "large").otherwise("nano")
+    return requests.cost(docs.select(model.alias("model"), "lang", "input_tokens", "output_tokens"))
+
+
+@query
+def output_budget(spark, d):
+    n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_texts"))
+    return n.select(
+        "source", "n_texts", requests.output_budget(F.col("n_texts"), True).alias("strict"), requests.output_budget(F.col("n_texts"), False).alias("loose"),
+        requests.chunk_tokens(F.col("n_texts") * 40_000, F.lit(2)).alias("chunk_tokens"), requests.safe_batch(F.lit(16384), F.col("n_texts")).alias("safe_batch"),
+    )
+
+
+def _raw_words(spark, d):
+    words = table(spark, d, "part").select(F.col("p_brand").alias("category"), F.explode(F.split("p_name", " ")).alias("value"), F.col("p_partkey").alias("position"))
+    more = table(spark, d, "part").select(F.col("p_brand").alias("category"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("s")).alias("value"), F.col("p_partkey").alias("position")).where("position % 3 = 0")
+    return words.union(more).union(words.where("position % 5 = 0").select(F.upper("category"), F.concat(F.lit("  "), F.upper("value"), F.lit("  Type ")), "position"))
+
+
+@query
+def normalize_vocab(spark, d):
+    return vocabulary.merged(_raw_words(spark, d))
+
+
+@query
+def plural_collapse(spark, d):
+    return vocabulary.without_plurals(vocabulary.merged(_raw_words(spark, d)))
+
+
+@query
+def plural_candidates(spark, d):
+    words = values(spark, "word string", [(w,) for w in ("papules", "patches", "bodies", "virus", "abscess", "boxes", "noses", "s", "ies", "waves", "glass", "buzzes")])
+    return words.select("word", F.concat_ws("|", X.singular_candidates("word")).alias("singulars"))
+
+
+@query
+def enum_filter(spark, d):
+    raw = vocabulary.merged(table(spark, d, "part").select(F.lit("type").alias("category"), F.col("p_type").alias("value"), F.col("p_partkey").alias("position")).union(table(spark, d, "orders").select(F.lit("status"), F.when(F.col("o_orderstatus") == "P", "None").otherwise(F.col("o_orderpriority")), "o_orderkey")))
+    return vocabulary.allowed(raw, {"type": ["economy", "promo"]})
+
+
+@query
+def vocab_union(spark, d):
+    return vocabulary.with_values(vocabulary.merged(_raw_words(spark, d)), [("brand#11", "extra"), ("brand#99", "new"), ("brand#99", "new")])
+
+
+@query
+def schema_document(spark, d):
+    vocab = table(spark, d, "part").select(F.lower("p_brand").alias("category"), F.lower("p_type").alias("value"))
+    return vocabulary.schema_document(vocab, ["brand#11_economy"])
+
+
+@query
+def safe_names(spark, d):
+    urls = table(spark, d, "pages").select("page_id", "url")
+    return urls.select("page_id", X.safe_name("url").alias("file_name"), X.short_label("url", 20).alias("label"))
+
+
+FACTS = [
+    (1, "A 45-year-old man with a sudden rash for 3 days, multiple spots, likely eczema"), (2, "female aged 72, slowly growing single nodule over two years"), (3, "Girl, 7 yrs old, red patches since birth, biopsy confirmed"),
+    (4, "no facts at all"), (5, ""), (6, None), (7, "The woman and her boy: weeks of itching, possible scabies"), (8, "80 year old, few lesions, 2 months, rule out melanoma"), (9, "15 y/o boy; acute, a couple of blisters today"),
+]
+TERMS = {"color_red": ["red", "pink"], "place_face": ["face", "cheek"], "itch": ["itch"]}
+
+
+@query
+def extracted_facts(spark, d):
+    return extract.facts(values(spark, "id int, text string", FACTS), "text", ["id"], TERMS)
+
+
+@query
+def keyword_lane(spark, d):
+    facts = extract.facts(table(spark, d, "documents"), "text", ["doc_id"], {f"{c}_{v}": t for c, vs in LEXICON.items() for v, t in vs.items()})
+    return facts.select("doc_id", *FEATURES)
+
+
+@query
+def encoded_answers(spark, d):
+    rows = [
+        (1, "lex_a", "the"), (1, "lex_a", "ing"), (1, "lex_b", "nothing"), (2, "lex_a", "lex_a_she"), (2, "other", "x"), (3, "lex_d", " Hand "), (3, "lex_d", "hand"), (3, "lex_e", None), (4, None, None), (5, "lex_c", "QUE"), (5, "lex_c", "los angeles"),
+    ]
+    return tristate.encode(values(spark, "id int, category string, value string", rows), LEXICON, "id")
+
+
+@query
+def all_unknown_audit(spark, d):
+    docs = table(spark, d, "documents")
+    return tristate.all_unknown(tristate.keyword_matrix(docs, "text", {c: LEXICON[c] for c in ("lex_c", "lex_e")}, ["text"]), [f for f in FEATURES if CATEGORIES[f] in ("lex_c", "lex_e")], "text", least=300)
+
+
+ANSWERS = [
+    (1, '{"captions":[{"a":["x"]},{"a":["y"],"b":[]}]}', 2, "stop", 30), (2, '```json\n[{"a":["x"]}]\n```', 2, "stop", 30), (3, '<think>so {</think>{"results":[{"a":["x"]},{"a":[]},{"b":["z"]}]}', 2, "stop", 30),
+    (4, '{"captions":[{"a":["x"]},{"a":["y"', 2, "length", 30), (5, "I can't say", 2, "stop", 30), (6, '{"captions":["x","y"]}', 2, "stop", 30), (7, '{"captions":[{"a":[]}]}', 2, "stop", 30),
+    (8, '{"captions":[{"a":[]},{}]}', 2, "stop", 30), (9, None, 2, "stop", 30), (10, 'Here: {"captions":[{"a":["x"]},{"b":["q"]}]} done', 2, "stop", 3), (11, '{"a":["x"]}', 1, "stop", 30), (12, '{"captions":[{"a":[]},{}]}', 2, "stop", 3),
+]
+
+
+def _answers(spark):
+    return responses.parsed(values(spark, "id int, text string, n_expected int, finish string, longest int", ANSWERS))
+
+
+@query
+def llm_parse_status(spark, d):
+    return _answers(spark).select("id", "status", "n_items", "n_nontrivial")
+
+
+@query
+def retry_action(spark, d):
+    return _answers(spark).select("id", responses.retry_action(F.col("status"), F.col("finish"), F.col("n_nontrivial"), F.col("longest")).alias("action"))
+
+
+@query
+def answered_values(spark, d):
+    return responses.category_values(_answers(spark), "id")
+
+
+LINES = [
+    ('{"custom_id":"r1","error":null,"response":{"status_code":200,"body":{"usage":{"prompt_tokens":10,"completion_tokens":4,"prompt_tokens_details":{"cached_tokens":6}},"choices":[{"finish_reason":"stop","message":{"content":"one"}}]}}}',),
+    ('{"custom_id":"r2","error":null,"response":{"status_code":200,"body":"{\\"usage\\":{\\"prompt_tokens\\":7,\\"completion_tokens\\":2},\\"choices\\":[{\\"finish_reason\\":\\"length\\",\\"message\\":{\\"content\\":\\"two\\"}}]}"}}',),
+    ('{"custom_id":"r3","error":{"code":"rate_limit"},"response":null}',), ('{"custom_id":"r4","error":null,"response":{"status_code":500,"body":"{}"}}',), ("not json",), ('{"custom_id":"r5","error":{"code":"rate_limit"}}',), ('{"custom_id":"r6","error":{"message":"x"}}',),
+]
+
+
+@query
+def batch_answers(spark, d):
+    return requests.answers(values(spark, "line string", LINES))
+
+
+@query
+def batch_output_usage(spark, d):
+    return requests.usage_totals(batch_answers(spark, d))
+
+
+@query
+def unanswered_requests(spark, d):
+    return requests.unanswered(values(spark, "custom_id string", [(f"r{i}",) for i in range(1, 8)]), batch_answers(spark, d))
+
+
+@query
+def error_histogram(spark, d):
+    return requests.errors(values(spark, "line string", LINES))
+
+
+@query
+def label_distribution(spark, d):
+    return statistics.label_distribution(table(spark, d, "documents"), BY)
+
+
+@query
+def prevalence_pivot(spark, d):
+    return statistics.prevalence(fixtures.documents(spark, d), FEATURES, "source", labels=10, most=6)
+
+
+@query
+def eda_stats(spark, d):
+    return statistics.eda(fixtures.documents(spark, d), FEATURES, BY)
+
+
+@query
+def category_mean(spark, d):
+    return statistics.category_mean(statistics.coverage(fixtures.documents(spark, d), FEATURES), {f: c for f, c in CATEGORIES.items() if c != "lex_e"})
+
+
+@query
+def informativeness_histogram(spark, d):
+    return statistics.histogram(statistics.coverage(fixtures.documents(spark, d), FEATURES), "informativeness", 8)
+
+
+@query
+def caption_lengths(spark, d):
+    return captions.length_histogram(table(spark, d, "documents"), "text")
+
+
+@query
+def gate_matrix(spark, d):
+    orders = table(spark, d, "orders")
+    image = F.when(F.col("o_orderstatus") == "O", "NORMAL").when(F.col("o_orderstatus") == "F", "ABNORMAL").otherwise("UNCLEAR")
+    symptoms = F.when(F.col("o_totalprice") > 300_000, "SEVERE").when(F.col("o_totalprice") > 100_000, "MILD").otherwise("NONE")
+    return decisions.gated(orders.select(image.alias("image"), symptoms.alias("symptoms"))).groupBy("image", "symptoms", "gate_case", "action").agg(F.count("*").alias("n_cases"))
+
+
+REPORTS = [
+    (1, '{"diagnoses":[{"name":"a","confidence":80,"severity":"mild","features":["x","y","z"]}]}'), (2, '{"diagnoses":[]}'), (3, "no"), (4, '{"diagnoses":[{"name":"a","confidence":99,"severity":"bad","features":["x"]},{"name":"a","confidence":60,"severity":"severe","features":["x","y","z"]}]}'),
+    (5, None), (6, '{"diagnoses":[' + ",".join(f'{{"name":"d{i}","confidence":50,"severity":"moderate","features":["x","y","z"]}}' for i in range(4)) + "]}"),
+]
+
+
+@query
+def report_validate(spark, d):
+    return values(spark, "id int, report string", REPORTS).select("id", F.concat_ws(",", decisions.report_faults(F.col("report"))).alias("faults"))
+
+
+@query
+def merged_questionnaire(spark, d):
+    q = fixtures.questionnaire(spark, d)
+    a, b = tristate.yes_no(q, "quality"), tristate.yes_no(q, "toxic")
+    return q.select("doc_id", a.alias("quality"), b.alias("toxic"), tristate.either(a, b).alias("either"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
