@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tristate import available
 
@@ -96,7 +97,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_survival(x: pd.Series, dof: pd.Series) -> pd.Series:
     """P of a chi-square as great or greater; 1 without degrees of freedom."""
     return pd.Series([1.0 if not k or k <= 0 or v is None else _upper_gamma(k / 2, v / 2) for v, k in zip(x, dof)])
