@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*+>(?P<inner>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>?|<[!?][^>]*+>?",
@@ -249,9 +251,9 @@ def labelled(blocks: list[Block], model: Model) -> list[bool]:
 
 
 def model_of(pages: DataFrame, *, sample: int = 2000) -> Model:
-    """The model learnt from at most `sample` pages; pages without an id or html don't count."""
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id is not null and html is not null")
-    chosen = chosen.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample)
+    """The model learnt from the pages of at most `sample` ids; pages without an id or html don't count."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id is not null and html is not null")
+    chosen = pages.join(F.broadcast(least_hashed(pages.select("page_id"), "page_id", sample)), "page_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
