@@ -4,9 +4,9 @@ Two zstandard dictionaries are made of labelled documents. The ordinary one is t
 windows of ordinary documents. The toxic one holds the same ordinary content, so that both code
 ordinary language alike, and a part trained on the toxic documents: their passages less the words that
 toxic and ordinary documents use alike (a word stays if its log-likelihood ratio between the two is at least
-`least_ratio`). Each window, a word between spaces, is compressed with both; what the toxic dictionary
-saves beyond `slack` bytes is its gain; a window is coded once by itself and once behind a passage that both
-dictionaries hold, which brings out what short words save. A document's score is its windows' total gain divided by (40 +
+`least_ratio`). Each window, a word between spaces behind a passage that both dictionaries hold, is compressed with both.
+A window is near the toxic text if its code there is no longer than that of one match, and what the toxic dictionary then
+saves beyond `slack` bytes is its gain; parts of words that it happens to hold count for nothing. A document's score is its windows' total gain divided by (40 +
 number of windows) ** 0.7, so that long texts need more than one slip. A language's threshold is the one of
 greatest F1 on its labelled documents that the dictionaries didn't see; a language of fewer than `least_toxic` toxic
 ones among them has the threshold of all together.
@@ -35,6 +35,8 @@ TAIL = bytes(range(1, 13))
 #: This precedes each window and ends both dictionaries' ordinary part, so that each window is coded as a
 #: compressed block and a match costs no more than itself.
 ANCHOR = bytes(range(128, 160))
+#: What ends a dictionary: the last bytes of one aren't looked up.
+END = bytes(range(200, 216))
 MARKS = ".,;:!?\"'()[]{}«»“”"
 
 
@@ -49,7 +51,10 @@ class Gains(dict):
 
     def __init__(self, model: ToxicityModel) -> None:
         self.slack = model.slack
-        self.toxic, self.ordinary = (self.compressor(x, model.level) for x in (model.ordinary + ANCHOR + model.toxic, model.ordinary + ANCHOR))
+        self.toxic, self.ordinary = (self.compressor(x + END, model.level) for x in (model.ordinary + ANCHOR + END[:1] + model.toxic, model.ordinary + ANCHOR))
+        #: The length of a window's code that is one match, by the most telling words.
+        codes = sorted(len(self.toxic.compress(self.window(w))) for w in model.toxic.split()[-8:])
+        self.floor = codes[len(codes) // 2] if codes else 0
 
     @staticmethod
     def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -57,9 +62,14 @@ class Gains(dict):
         shared.precompute_compress(level=level)
         return zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_dict_id=False)
 
+    @staticmethod
+    def window(word: bytes) -> bytes:
+        return ANCHOR + b" " + word + b" " + TAIL
+
     def __missing__(self, word: str) -> int:
-        bare = f" {word.strip(MARKS)} ".encode(errors="replace") + TAIL
-        gain = sum(max(0, len(self.ordinary.compress(w)) - len(self.toxic.compress(w)) - self.slack) for w in (bare, ANCHOR + bare))
+        window = self.window(word.strip(MARKS).encode(errors="replace"))
+        code = len(self.toxic.compress(window))
+        gain = max(0, len(self.ordinary.compress(window)) - code - self.slack) if code <= self.floor else 0
         if len(word) <= 64:
             if len(self) >= self.MOST:
                 self.clear()
@@ -115,7 +125,7 @@ def calibrated(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((ranked[best] + (ranked[best + 1] if best + 1 < len(order) else 0)) / 2)
 
 
-def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384, toxic_size: int = 8192, least_ratio: float = 12.0, least_toxic: int = 10) -> ToxicityModel:
+def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384, toxic_size: int = 8192, least_ratio: float = 24.0, least_toxic: int = 10) -> ToxicityModel:
     """rows: (text, lang, toxic), of which every second is held out for the threshold. Without rows of both
     kinds in both halves, nothing is toxic."""
     train, held = rows[::2], rows[1::2]
@@ -123,15 +133,17 @@ def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384,
         return ToxicityModel()
     counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
     texts: dict[bool, list[list[str]]] = {True: [], False: []}
+    names: dict[str, str] = {}  # each word is held once
     for text, _, toxic in train:
-        words = [w.strip(MARKS) for w in words_of(text)]
+        words = [names.setdefault(w, w) for w in (w.strip(MARKS) for w in words_of(text))]
         counts[toxic].update({w for w in words if len(w) > 2})
         texts[toxic].append(words)
     n, m = len(texts[True]), len(texts[False])
     telling = {w: r for w, k in counts[True].items() if (r := _ratio(k, n, counts[False][w], m)) >= least_ratio}
-    windows = [" ".join(words[i : i + 12]).encode(errors="replace") for words in texts[False] for i in range(0, len(words), 12)]
-    step = max(1, len(windows) // 30_000)
-    ordinary = trained(windows[::step], ordinary_size)
+    places = [(words, i) for words in texts[False] for i in range(0, len(words), 12)]
+    step = max(1, len(places) // 30_000)
+    ordinary = trained([" ".join(words[i : i + 12]).encode(errors="replace") for words, i in places[::step]], ordinary_size)
+    del places
     passages = [f" {' '.join(own)} ".encode(errors="replace") for words in texts[True] if (own := [w for w in words if w in telling])]
     # What lies nearest the end of a dictionary is cheapest to refer to: each telling word once, the most telling last.
     each = b" " + b" ".join(w.encode(errors="replace") for w in sorted(telling, key=lambda w: (telling[w], w))) + b" "
