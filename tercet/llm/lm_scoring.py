@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, reduce_partitions
+from .common import WordHasher, reduce_partitions, written
 from .quality import words_of
 
 BLOCKS, FAN = 16, 64
@@ -90,15 +90,27 @@ def vocabulary_of(docs: DataFrame, vocabulary: int, buckets: int) -> Vocabulary:
             yield out(*merged())
 
     counts = docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(buckets)).cast("int").alias("bucket")
-    counts = counts.select("word", "n", bucket)
-    # One pass gives the most frequent words; another what the buckets hold in all.
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition's words the most frequent ones, and what each bucket holds in all (of those, `word` is null)."""
+        top, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.zeros(buckets)
+        for batch in batches:
+            word, n = (c.to_numpy() for c in batch.columns)
+            held += np.bincount(((word.view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), n, buckets)
+            word, n = np.concatenate([top[0], word]), np.concatenate([top[1], n])
+            order = np.lexsort((word, -n))[:vocabulary]
+            top = word[order], n[order]
+        words, n = np.append(top[0], np.zeros(buckets, np.int64)), np.append(top[1], held.astype(np.int64))
+        of = np.append(np.full(len(top[0]), -1), np.arange(buckets))
+        yield pa.RecordBatch.from_arrays([pa.array(words, mask=of >= 0), pa.array(of, pa.int32()), pa.array(n)], ["word", "bucket", "n"])
+
+    sums = written(counts.mapInArrow(summed, "word long, bucket int, n long"))
+    top = sums.where("bucket < 0").orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     held = np.zeros(buckets)
-    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in sums.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         held[row["bucket"]] = row["n"]
     for row in top:
-        held[row["bucket"]] -= row["n"]
+        held[(row["word"] % 2**64 >> 40) % buckets] -= row["n"]
     n = np.append(np.array([r["n"] for r in top], float), held) + 0.5
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -198,11 +210,11 @@ def trained(docs: DataFrame, *, vocabulary: int = 1472, buckets: int = 64, size:
             parts = np.array_split(np.concatenate([trainer.p[k].ravel() for k in NAMES]).astype(np.float64) * seen, BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary())], ["block", "task", "weight", "values"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], fan: int) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
         for arrow in batches:
             for b, t, n, x in zip(*(c.to_pylist() for c in arrow.columns)):
-                own = sums.setdefault((b, t % FAN), [0.0, 0.0])
+                own = sums.setdefault((b, t % fan), [0.0, 0.0])
                 own[0] += n
                 own[1] = own[1] + np.frombuffer(x, "<f4").astype(np.float64)
         for (b, t), (n, x) in sums.items():
@@ -210,10 +222,10 @@ def trained(docs: DataFrame, *, vocabulary: int = 1472, buckets: int = 64, size:
 
     n = reduce_partitions(spark)
     own = docs.select("text").where("text is not null").mapInArrow(learn, schema)
-    sums = own.repartition(n, "block", F.pmod("task", F.lit(FAN))).sortWithinPartitions("block", "task").mapInArrow(add, schema)
-    # FAN rows of fixed size a block at most.
+    sums = own.repartition(n, "block", F.pmod("task", F.lit(FAN))).sortWithinPartitions("block", "task").mapInArrow(lambda b: add(b, FAN), schema)
+    sums = sums.repartition(n, "block").sortWithinPartitions("block", "task").mapInArrow(lambda b: add(b, 1), schema)
     blocks: dict[int, list] = {b: [0.0, 0.0] for b in range(BLOCKS)}
-    for row in sorted(sums.collect(), key=lambda r: (r["block"], r["task"])):
+    for row in sums.collect():  # one a block
         blocks[row["block"]][0] += row["weight"]
         blocks[row["block"]][1] = blocks[row["block"]][1] + np.frombuffer(row["values"], "<f4").astype(np.float64)
     if not blocks[0][0]:
