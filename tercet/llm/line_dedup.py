@@ -184,14 +184,14 @@ def oracle(min_words: int = 4) -> str:
     return f"""
 with lines as (
   select doc_id, lang, source, unnest(string_split(text, chr(10))) as line,
-         unnest(range(len(string_split(text, chr(10))))) as at
+         unnest(range(len(string_split(text, chr(10))))) as pos
   from documents
 ), marked as (
   select *, len(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g'), ' '), ' ')) >= {min_words} as eligible,
-         row_number() over (partition by line order by doc_id, at) as nth
+         row_number() over (partition by line order by doc_id, pos) as nth
   from lines
 ), joined as (
-  select doc_id, lang, source, coalesce(string_agg(line, chr(10) order by at) filter (where not eligible or nth = 1), '') as text
+  select doc_id, lang, source, coalesce(string_agg(line, chr(10) order by pos) filter (where not eligible or nth = 1), '') as text
   from marked group by all
 )
 select doc_id, text, lang, source, length(text) as n_chars from joined"""
