@@ -11,6 +11,10 @@ its partition, from the same start; the models that result are averaged, weighte
 by blocks of parameters. A task sends a fixed number of bytes, a small part of what it reads.
 
 Scoring is exact: scores of words in contexts and the normalising sums come from batched matrix products. A pair of context words' sum is kept once it is known.
+
+With the corpus' word counts, probabilities are over words: a word of a bucket has the bucket's probability times its own share of it,
+n(word) / n(bucket). Counts of any number of words are joined in shards by hash: a shuffle brings the words of texts, packed, to their
+shard's counts, and a second one the sums to their texts. Without them, probabilities are over the vocabulary and the buckets.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ class Vocabulary:
     ids: np.ndarray  # of these
     buckets: int
     log_noise: np.ndarray  # log of each id's frequency
+    held: np.ndarray  # the words that each bucket holds, counted as often as they occur
 
     def __len__(self) -> int:
         return len(self.words) + self.buckets
@@ -60,8 +65,8 @@ def triples(words: np.ndarray, begins: np.ndarray, start: int) -> tuple[np.ndarr
     return u, v
 
 
-def vocabulary_of(docs: DataFrame, vocabulary: int, buckets: int) -> Vocabulary:
-    """The words of docs that are most frequent; of equally frequent ones those of least hash."""
+def counts_of(docs: DataFrame) -> DataFrame:
+    """(word, n) for each word of docs, by its hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -89,7 +94,12 @@ def vocabulary_of(docs: DataFrame, vocabulary: int, buckets: int) -> Vocabulary:
         if held:
             yield out(*merged())
 
-    counts = docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").where("text is not null").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary_of(docs: DataFrame, vocabulary: int, buckets: int, counts: DataFrame | None = None) -> Vocabulary:
+    """The words of docs that are most frequent; of equally frequent ones those of least hash."""
+    counts = counts_of(docs) if counts is None else counts
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a partition's words the most frequent ones, and what each bucket holds in all (of those, `word` is null)."""
@@ -114,7 +124,7 @@ def vocabulary_of(docs: DataFrame, vocabulary: int, buckets: int) -> Vocabulary:
     n = np.append(np.array([r["n"] for r in top], float), held) + 0.5
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Vocabulary(words[order], order.astype(np.int32), buckets, np.log(n / n.sum()))
+    return Vocabulary(words[order], order.astype(np.int32), buckets, np.log(n / n.sum()), held)
 
 
 def first_parameters(vocab: Vocabulary, size: int, seed: int) -> dict[str, np.ndarray]:
@@ -180,10 +190,10 @@ class Trainer:
             self.step(u[at], v[at], w[at])
 
 
-def trained(docs: DataFrame, *, vocabulary: int = 1472, buckets: int = 64, size: int = 32, noise: int = 32, rate: float = 0.1, batch: int = 2048, chunk: int = 1 << 18, seed: int = 5) -> Model:
-    """The model of all the texts of docs."""
+def trained(docs: DataFrame, *, vocabulary: int = 1472, buckets: int = 64, size: int = 32, noise: int = 32, rate: float = 0.1, batch: int = 2048, chunk: int = 1 << 18, seed: int = 5, counts: DataFrame | None = None) -> Model:
+    """The model of all the texts of docs, whose word counts may be given."""
     spark = docs.sparkSession
-    vocab = vocabulary_of(docs, vocabulary, buckets)
+    vocab = vocabulary_of(docs, vocabulary, buckets, counts)
     start = first_parameters(vocab, size, seed)
     shared = spark.sparkContext.broadcast((vocab, start))
     shapes = {k: v.shape for k, v in start.items()}
@@ -274,11 +284,15 @@ class Model:
         return self.by_far[u, w].astype(np.float64) + self.by_near[v, w] - self.sums[context]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) for each row of docs, repeated ones and those with a null doc_id too.
 
-    A null or empty text has no words, a log-probability of 0 and a null mean. Columns other than doc_id and text aren't read. No shuffle.
+    With `counts`, those that the model's vocabulary is of, the probabilities are over words. A word that wasn't counted has half an
+    occurrence in its bucket. A null or empty text has no words, a log-probability of 0 and a null mean. Columns other than doc_id and text
+    aren't read. No shuffle without counts.
     """
+    if counts is not None:
+        return _score_words(docs, model, counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,3 +308,100 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+
+def _score_words(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """The scores over words. What shuffles has three kinds: a shard's counts (0), a piece's words of buckets (1) and a piece's texts (2)."""
+    spark = docs.sparkSession
+    shared, n = spark.sparkContext.broadcast(model), reduce_partitions(spark)
+    #: Some 2**20 words a shard: what a task holds doesn't grow.
+    shards = max(n, -(-counts.count() // (1 << 20)))
+    schema = "shard int, kind int, piece long, rows binary, numbers binary"
+    names = ["shard", "kind", "piece", "rows", "numbers"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+    def by_shard(words: np.ndarray, values: np.ndarray, kind: int, piece: int) -> list[tuple]:
+        own = (words % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        own, words, values = own[order], words[order], values[order]
+        cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
+        return [(int(own[a]), kind, piece, values[a:b].tobytes(), words[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(own)])]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, count = (c.to_numpy() for c in batch.columns)
+            if len(word):
+                yield batch_of(by_shard(word.view(np.uint64), count.astype(np.int64), 0, -1))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, hasher = shared.value, WordHasher()
+        vocab, piece = model.vocab, TaskContext.get().partitionId() << 32
+        held = np.append(np.zeros(len(vocab.words)), np.log(vocab.held + 0.5))
+        for batch in batches:
+            at = 0
+            for words, begins in words_of(batch.column(1), hasher):
+                ids, k = vocab.encoded(words), len(begins) - 1
+                sums = np.append(0.0, np.cumsum(model.log_probabilities(*triples(ids, begins, len(vocab)), ids)))
+                lengths = np.diff(begins)
+                doc_ids = batch.column(0).slice(at, k)
+                rare = np.flatnonzero(ids >= len(vocab.words))
+                #: The bucket's words count with the sum: what is joined is log n(word) alone.
+                inside = np.append(0.0, np.cumsum(held[ids]))
+                texts = np.stack([doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), lengths.astype(np.int64)])
+                out = by_shard(words[rare], np.repeat(np.arange(k, dtype=np.int32), lengths)[rare], 1, piece)
+                yield batch_of([*out, (piece % shards, 2, piece, texts.tobytes(), (np.diff(sums[begins]) - np.diff(inside[begins])).tobytes())])
+                at, piece = at + k, piece + 1
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, words, logs = None, [], np.zeros(0, np.uint64), np.zeros(0)
+        for batch in batches:
+            out = []
+            for s, kind, piece, rows, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != shard:
+                    shard, held, words, logs = s, [], np.zeros(0, np.uint64), np.zeros(0)
+                if kind == 0:
+                    held.append((np.frombuffer(numbers, np.uint64), np.frombuffer(rows, np.int64)))
+                elif kind == 2:
+                    out.append((s, kind, piece, rows, numbers))
+                else:
+                    if held:
+                        words, count = (np.concatenate(x) for x in zip(*held))
+                        order, held = np.argsort(words), []
+                        words, logs = words[order], np.log(count[order])
+                    own, of = np.frombuffer(numbers, np.uint64), np.frombuffer(rows, np.int32)
+                    found = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
+                    log_n = np.where(words[found] == own, logs[found], np.log(0.5)) if len(words) else np.full(len(own), np.log(0.5))
+                    texts, sums = _scattered(0, of, log_n)
+                    out.append((s, kind, piece, texts.tobytes(), sums.tobytes()))
+            if out:
+                yield batch_of(out)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, texts = None, [], None
+
+        def result() -> pa.RecordBatch:
+            (doc_ids, null, lengths), total = np.frombuffer(texts[0], np.int64).reshape(3, -1), np.frombuffer(texts[1], np.float64).copy()
+            for rows, numbers in held:
+                total[np.frombuffer(rows, np.int32)] += np.frombuffer(numbers, np.float64)
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=null > 0), pa.array(lengths), pa.array(total), pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+
+        for batch in batches:
+            for _, kind, piece, rows, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece != at:
+                    if texts:
+                        yield result()
+                    at, held, texts = piece, [], None
+                if kind == 2:
+                    texts = rows, numbers
+                else:
+                    held.append((rows, numbers))
+        if texts:
+            yield result()
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(classes, schema)
+    # Within a piece shards come in order, so that its sums are the same in each run.
+    sums = counts.select("word", "n").mapInArrow(packed, schema).unionByName(own).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(joined, schema)
+    return sums.repartition(n, "piece").sortWithinPartitions("piece", "shard").mapInArrow(added, "doc_id long, n_words long, log_prob double, mean_log_prob double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontamination, html_extract, jaccard, line_dedup, lm_scoring, mixing, pii, quality, toxicity
-from .common import table
+from .common import table, written
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.trained(docs))
+    counts = written(lm_scoring.counts_of(docs))
+    return lm_scoring.score(docs, lm_scoring.trained(docs, counts=counts), counts)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

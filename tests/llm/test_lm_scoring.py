@@ -1,7 +1,12 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tercet.llm.lm_scoring import Model, Trainer, first_parameters, score, trained, triples, vocabulary_of
+from tercet.llm.common import WordHasher
+from tercet.llm.lm_scoring import Model, Trainer, counts_of, first_parameters, score, trained, triples, vocabulary_of
+from tercet.llm.quality import words_of
 
 SMALL = {"vocabulary": 60, "buckets": 8, "size": 12}
 
@@ -82,3 +87,29 @@ def test_odd_rows(odd, make, model):
     assert next(r["n_words"] for r in out if r["doc_id"] == 6) == 50_001
     none = trained(make([]), **SMALL)
     assert score(make([]), none).count() == 0 and score(odd, none).count() == 9
+
+
+def test_words_of_a_bucket_have_their_own_share(make, odd, prose):
+    """Texts that differ in words of one bucket only differ by the words' counts; a bucket's shares sum to one."""
+    texts = prose(200, 22)
+    docs = make(texts)
+    counts = counts_of(docs)
+    model = trained(docs, vocabulary=20, buckets=2, size=8, batch=256, counts=counts)
+    n = Counter(w for t in texts for w in t.split())
+    words = sorted(n)
+    by_class = {r["doc_id"]: r["log_prob"] for r in score(make(words), model).collect()}
+    over_words = {r["doc_id"]: r["log_prob"] for r in score(make(words), model, counts).collect()}
+    ids = np.concatenate([model.vocab.encoded(h) for h, _ in words_of(pa.array(words), WordHasher())])
+    for i, w in enumerate(words):
+        share = 1 if ids[i] < 20 else n[w] / (sum(n[x] for x, j in zip(words, ids) if j == ids[i]) + 0.5)
+        assert over_words[i] == pytest.approx(by_class[i] + np.log(share), rel=1e-4)
+    assert 0.99 < sum(map(np.exp, over_words.values())) <= 1.001
+    whole = {r["doc_id"]: r for r in score(docs, model, counts).collect()}
+    assert len(whole) == 200
+    for i, t in enumerate(texts):
+        own = [model.vocab.encoded(h) for h, _ in words_of(pa.array([t]), WordHasher())][0]
+        extra = sum(np.log(n[w] / (model.vocab.held[j - 20] + 0.5)) for w, j in zip(t.split(), own) if j >= 20)
+        assert whole[i]["log_prob"] == pytest.approx(brute(model, t) + extra, rel=1e-4) and whole[i]["n_words"] == len(own)
+    out = score(odd, model, counts).collect()
+    assert len(out) == 9 and sum(r["doc_id"] is None for r in out) == 1 and all(r["n_words"] == 0 and r["log_prob"] == 0 and r["mean_log_prob"] is None for r in out if r["doc_id"] in (1, 2, 3))
+    assert score(make([]), model, counts).count() == 0
