@@ -4,7 +4,10 @@ Two zstandard dictionaries are made of labelled documents. The ordinary one is t
 windows of ordinary documents. The toxic one holds the same ordinary content, so that both code
 ordinary language alike, and a part trained on the toxic documents: their passages less the words that
 toxic and ordinary documents use alike (a word stays if its log-likelihood ratio between the two is at least
-`least_ratio`). Each window, a word between spaces behind a passage that both dictionaries hold, is compressed with both.
+`least_ratio`, in all documents or in those of one language) and what such words begin with, as a language that
+inflects or compounds has few of its telling words twice. A word that begins with one of these is
+looked up by the longest, which the toxic dictionary holds whole: its gain is without slack, as the ordinary one may hold it within
+other words. Each window, a word between spaces behind a passage that both dictionaries hold, is compressed with both.
 A window is near the toxic text if its code there is no longer than that of one match, and what the toxic dictionary then
 saves beyond `slack` bytes is its gain; parts of words that it happens to hold count for nothing. A document's score is its windows' total gain divided by (40 +
 number of windows) ** 0.7, so that long texts need more than one slip. A language's threshold is the one of
@@ -39,6 +42,9 @@ ANCHOR = bytes(range(128, 160))
 END = bytes(range(200, 216))
 MARKS = ".,;:!?\"'()[]{}«»“”"
 
+#: Beginnings of words are looked at up to this length, and whole words of any.
+LONGEST = 64
+
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
@@ -51,6 +57,7 @@ class Gains(dict):
 
     def __init__(self, model: ToxicityModel) -> None:
         self.slack = model.slack
+        self.telling = set(model.toxic.decode(errors="replace").split())
         self.toxic, self.ordinary = (self.compressor(x + END, model.level) for x in (model.ordinary + ANCHOR + END[:1] + model.toxic, model.ordinary + ANCHOR))
         #: The length of a window's code that is one match, by the most telling words.
         codes = sorted(len(self.toxic.compress(self.window(w))) for w in model.toxic.split()[-8:])
@@ -67,9 +74,12 @@ class Gains(dict):
         return ANCHOR + b" " + word + b" " + TAIL
 
     def __missing__(self, word: str) -> int:
-        window = self.window(word.strip(MARKS).encode(errors="replace"))
+        own = word.strip(MARKS)
+        begins = next((own[:k] for k in range(min(len(own), LONGEST), 2, -1) if own[:k] in self.telling), None)
+        own, slack = (own, self.slack) if begins is None else (begins, 0)  # no part that is there by chance
+        window = self.window(own.encode(errors="replace"))
         code = len(self.toxic.compress(window))
-        gain = max(0, len(self.ordinary.compress(window)) - code - self.slack) if code <= self.floor else 0
+        gain = max(0, len(self.ordinary.compress(window)) - code - slack) if begins is not None or code <= self.floor else 0
         if len(word) <= 64:
             if len(self) >= self.MOST:
                 self.clear()
@@ -105,6 +115,32 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
     return out if a / n > b / m else -out
 
 
+def telling_beginnings(toxic: list[list[str]], ordinary: list[list[str]], least_ratio: float) -> dict[str, float]:
+    """Beginnings of words, three characters at least, that tell toxic from ordinary documents of one language, with their ratios.
+    Of beginnings of each other that occur in equally many documents of both kinds the longest stays."""
+    n, m = len(toxic), len(ordinary)
+    if not n or not m:
+        return {}
+    found: dict[str, float] = {}
+    counts = Counter(x for words in toxic for x in {w[:3] for w in words if len(w) > 2})
+    shorter: dict[str, tuple[int, int]] = {}
+    for size in range(3, LONGEST + 1):
+        # A beginning is in no more documents than a shorter one of it.
+        most = {x: k for x, k in counts.items() if _ratio(k, n, 0, m) >= least_ratio}
+        if not most:
+            break
+        other = Counter(x for words in ordinary for x in {w[:size] for w in words if len(w) >= size} if x in most)
+        both = {x: (k, other[x]) for x, k in most.items()}
+        for x, (k, b) in both.items():
+            if shorter.get(x[:-1]) == (k, b):
+                found.pop(x[:-1], None)
+            if (r := _ratio(k, n, b, m)) >= least_ratio:
+                found[x] = r
+        shorter = both
+        counts = Counter(x for words in toxic for x in {w[: size + 1] for w in words if len(w) > size and w[:size] in most})
+    return found
+
+
 def trained(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary's content; of few samples, which can't be trained on, their own bytes."""
     try:
@@ -133,13 +169,18 @@ def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384,
         return ToxicityModel()
     counts: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
     texts: dict[bool, list[list[str]]] = {True: [], False: []}
+    by_lang: dict[tuple[str | None, bool], list[list[str]]] = {}
     names: dict[str, str] = {}  # each word is held once
-    for text, _, toxic in train:
+    for text, lang, toxic in train:
         words = [names.setdefault(w, w) for w in (w.strip(MARKS) for w in words_of(text))]
         counts[toxic].update({w for w in words if len(w) > 2})
         texts[toxic].append(words)
+        by_lang.setdefault((lang, toxic), []).append(words)
     n, m = len(texts[True]), len(texts[False])
     telling = {w: r for w, k in counts[True].items() if (r := _ratio(k, n, counts[False][w], m)) >= least_ratio}
+    for lang in {x for x, _ in by_lang}:
+        for w, r in telling_beginnings(by_lang.get((lang, True), []), by_lang.get((lang, False), []), least_ratio).items():
+            telling[w] = max(r, telling.get(w, 0))
     places = [(words, i) for words in texts[False] for i in range(0, len(words), 12)]
     step = max(1, len(places) // 30_000)
     ordinary = trained([" ".join(words[i : i + 12]).encode(errors="replace") for words, i in places[::step]], ordinary_size)
@@ -148,7 +189,7 @@ def fit(rows: list[tuple[str, str | None, bool]], *, ordinary_size: int = 16384,
     # What lies nearest the end of a dictionary is cheapest to refer to: each telling word once, the most telling last.
     each = b" " + b" ".join(w.encode(errors="replace") for w in sorted(telling, key=lambda w: (telling[w], w))) + b" "
     toxic = trained(passages, toxic_size) if len(each) > toxic_size else b""
-    model = ToxicityModel(ordinary, toxic + each[-toxic_size:])
+    model = ToxicityModel(ordinary, toxic + each)
     gains = Gains(model)
     scores = np.array([gains.score(t) for t, _, _ in held])
     labels = np.array([y for _, _, y in held], float)

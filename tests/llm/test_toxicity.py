@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tercet.llm.toxicity import ToxicityModel, calibrated, fit, model_of, score, without_toxic
+from tercet.llm.toxicity import Gains, ToxicityModel, calibrated, fit, model_of, score, without_toxic
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,27 @@ def test_calibration_takes_the_best_f1():
 
         if y.sum() and s.max() > 0:
             assert abs(f1(t) - max(f1(x) for x in np.arange(0.5, 8))) < 1e-12
+
+
+def test_a_small_language_of_compounds():
+    """Toxic words of one language in twenty never recur whole; they begin alike."""
+    r = random.Random(4)
+
+    def word():
+        return "".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(3, 5)))
+
+    rows = []
+    for i in range(2400):
+        lang = "xx" if i % 20 < 2 else "en"
+        toxic = i % 16 < 2
+        words = [word() for _ in range(40)]
+        if toxic:
+            for _ in range(4):
+                words.insert(r.randrange(len(words)), "snurkvlem" + word() if lang == "xx" else "gorblix")
+        rows.append((" ".join(words), lang, toxic))
+    r.shuffle(rows)
+    model, fresh = fit(rows[:1200]), rows[1200:]
+    gains = Gains(model)
+    for lang in ("xx", "en"):
+        own = [(model.is_toxic(gains.score(t), lang), y) for t, x, y in fresh if x == lang]
+        assert np.mean([said for said, y in own if y]) > 0.9 and np.mean([said for said, y in own if not y]) < 0.02
