@@ -206,7 +206,9 @@ class Pseudonyms:
             own = digits[-10:]
             valid = lambda s: s[0] in "23456789" and s[3] in "23456789"
             if not valid(own):
-                return None
+                if text[0] != "+" and "(" not in text:
+                    return None
+                valid = lambda s: s[0] not in "23456789" or s[3] not in "23456789"
             return self.put(text, digits[:-10] + self.characters("north", own, valid=valid))
         country = prefix.group(1) if prefix else digits[:2]
         return self.put(text, country + self.characters("phone" + country, digits[len(country) :]))

@@ -80,3 +80,9 @@ def test_documents_are_linked(spark, make):
     back = {r["doc_id"]: r["text"] for r in pseudonymise(pseudonymise(docs), back=True).collect()}
     assert back == {r["doc_id"]: r["text"] for r in docs.collect()}
     assert pseudonymised(make([])).count() == 0
+
+
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (171) 155-2028", "(017) 555-7713"])
+def test_numbers_with_any_area_code(value):
+    new, n = Pseudonyms().replaced(f"call {value} now")
+    assert n == 1 and value not in new and Pseudonyms(back=True).replaced(new) == (f"call {value} now", 1)
