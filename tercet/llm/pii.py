@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -35,11 +36,11 @@ YEARS = (1900, 2099)
 
 _DATE = r"(?P<date>(?<![\d./-])(?:(?:19|20)\d\d(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)(?:19|20)\d\d)(?![\d/-]|\.\d))"
 FOUND = re.compile(
-    r"(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\W{0,3}?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_-]{8,128}))"
+    r"(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\W{0,3}?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"']{7,}[A-Za-z0-9+/_-]))"
     r"|(?P<access>(?<![A-Za-z0-9])(?i:AKIA|ASIA)[A-Za-z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,37}::)[0-9A-Fa-f:]{3,39})(?![\w:]))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|" + _DATE + r"|(?P<ssn>(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\d)|(?<![\d(.-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
@@ -49,6 +50,8 @@ FOUND = re.compile(
 #: Every value but a secret has one of these, and no more than GAP other characters between two of them or before the first or behind the last.
 ANCHORS = re.compile(r"[\d@](?:[^\d@]{0,70}[\d@])*", re.ASCII)
 GAP = 80
+#: Characters of a secret that are permuted at once.
+PIECE = 128
 #: A text with one of these may hold a secret.
 KEYWORDS = ("passw", "pwd", "secret", "token", "key", "akia", "asia")
 
@@ -140,8 +143,12 @@ class Pseudonyms:
         it = iter(chars)
         return "".join(next(it) if c.isascii() and c.isalnum() else c for c in text)
 
-    def secret(self, text: str) -> str:
-        return self.characters("secret", text, hexadecimal=bool(re.fullmatch(r"(?:[0-9a-f]{8,}|[0-9A-F]{8,})", text)))
+    def secret(self, text: str) -> str | None:
+        if not any(c.isascii() and c.isalnum() for c in text):
+            return None
+        hexadecimal = bool(re.fullmatch(r"(?:[0-9a-f]{8,}|[0-9A-F]{8,})", text))
+        # A network's rounds reach 512 bits: longer values are permuted by pieces.
+        return "".join(self.characters(f"secret{i or ''}", text[i : i + PIECE], hexadecimal=hexadecimal) for i in range(0, len(text), PIECE))
 
     def access(self, text: str) -> str:
         return text[:4] + self.characters("access", text[4:])
@@ -161,8 +168,17 @@ class Pseudonyms:
         new = f"{bare[:2]}{check:02d}{own}"
         return self.put(text, "".join(n.lower() if o.islower() else n for n, o in zip(new, text.replace(" ", ""))))
 
-    def ipv6(self, text: str) -> str:
-        return self.characters("ipv6", text, hexadecimal=True)
+    def ipv6(self, text: str) -> str | None:
+        def digit(s: str) -> bool:
+            return any(c.isdigit() for c in s)
+
+        if "::" not in text:
+            return self.characters("ipv6", text, hexadecimal=True)
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        return self.characters("ipv6", text, hexadecimal=True, valid=digit) if digit(text) else None
 
     def ip(self, text: str) -> str | None:
         parts = text.split(".")

@@ -86,3 +86,12 @@ def test_documents_are_linked(spark, make):
 def test_numbers_with_any_area_code(value):
     new, n = Pseudonyms().replaced(f"call {value} now")
     assert n == 1 and value not in new and Pseudonyms(back=True).replaced(new) == (f"call {value} now", 1)
+
+
+@pytest.mark.parametrize("value", ["2001:db8::1", "fe80::1", "::1", "password = p@ssw0rd!", "token=eyJhbGci.eyJzdWIi0.SflKxw_c", "api_key: " + "Ab3" * 400])
+def test_whole_secrets_and_short_addresses(value):
+    new, n = Pseudonyms().replaced(f"see {value} here")
+    assert n == 1 and Pseudonyms(back=True).replaced(new) == (f"see {value} here", 1)
+    secret = re.split(r"[=:] ?", value, maxsplit=1)[1] if "::" not in value else value
+    own = new.removesuffix(" here")[-len(secret) :]
+    assert all(a != b for a, b in zip(re.findall(r"\w{4,}", secret), re.findall(r"\w{4,}", own))) and own[-60:] != secret[-60:]
