@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What is broadcast has this many bytes at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(small: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table as the small side of a join: broadcast if its rows, of about row_bytes each, are few enough; else by a shuffle."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small.hint("shuffle_merge")
+
+
 def reduce_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +85,27 @@ def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
+def normalised_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts, normalised, each between spaces; and where each begins."""
+    data, offsets = as_buffer(pc.utf8_lower(texts))
+    n = len(offsets) - 1
+    padded = np.full(len(data) + 2 * n, 32, np.uint8)
+    begins = offsets + 2 * np.arange(n + 1)
+    at = np.ones(len(padded), bool)
+    at[begins[:-1]] = False
+    at[begins[1:] - 1] = False
+    padded[at] = _CLASS[data]
+    space = padded == 32
+    keep = np.ones(len(padded), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    keep[begins[:-1]] = True
+    return padded[keep], np.concatenate([[0], np.cumsum(keep)])[begins]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -23,11 +23,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_buffer, fresh, pieces
+from .common import as_buffer, fresh, normalised_buffer, pieces
 
 BLOCK = 8
 TABLE_BITS = 20
@@ -39,27 +38,6 @@ def normalised(text: str) -> str:
     return WORDLESS.sub(" ", text.lower()).strip(" ")
 
 
-_CLASS = np.arange(256, dtype=np.uint8)
-_CLASS[[c for c in range(128) if not chr(c).isalnum()]] = 32
-
-
-def normalised_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, normalised, each between spaces; and where each begins."""
-    data, offsets = as_buffer(pc.utf8_lower(texts))
-    n = len(offsets) - 1
-    padded = np.full(len(data) + 2 * n, 32, np.uint8)
-    begins = offsets + 2 * np.arange(n + 1)
-    at = np.ones(len(padded), bool)
-    at[begins[:-1]] = False
-    at[begins[1:] - 1] = False
-    padded[at] = _CLASS[data]
-    space = padded == 32
-    keep = np.ones(len(padded), bool)
-    keep[1:] = ~(space[1:] & space[:-1])
-    keep[begins[:-1]] = True
-    return padded[keep], np.concatenate([[0], np.cumsum(keep)])[begins]
-
-
 class WuManber:
     """patterns: distinct byte strings, each with a space at either end."""
 
