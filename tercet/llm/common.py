@@ -52,9 +52,13 @@ def written(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
+def is_small(written: DataFrame, row_bytes: int) -> bool:
+    return written.count() * row_bytes <= BROADCAST_BYTES
+
+
 def sized(small: DataFrame, row_bytes: int) -> DataFrame:
     """A written table as the small side of a join: broadcast if its rows, of about row_bytes each, are few enough; else by a shuffle."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small.hint("shuffle_merge")
+    return F.broadcast(small) if is_small(small, row_bytes) else small.hint("shuffle_merge")
 
 
 def reduce_partitions(spark: SparkSession) -> int:

@@ -2,17 +2,17 @@
 
 A line is what lies between two newline characters. Of all lines with the same characters, over
 the whole corpus, the first stays: that of the least doc_id, then of the least position. Blank
-lines (spaces, tabs, carriage returns, form feeds only) and lines of fewer than `min_words`
-words, which repeat by chance, are left as they are.
+lines (spaces, tabs, carriage returns, form feeds only) are left as they are, and so are lines of fewer
+than `min_words` words, if that is more than one.
 
 How: each task enters hashes of its lines in two Bloom filters, one for what it has seen and one
 for what it has seen again. The filters are cut into segments and packed; a shuffle brings the
 packed segments together, and a bit is in the merged second filter if a task's second filter
 has it or the first filters of two tasks have it. Every line that occurs twice is in the merged filter. Only lines found
-there shuffle, with their text, to be confirmed and to choose the first occurrence. Documents
-without such a line never shuffle.
+there shuffle, with their text, to be confirmed and to choose the first occurrence. The places to remove are broadcast
+to the documents if they are few enough; else the documents that have a suspect shuffle to them, and no others.
 
-The filters have about `bits_per_line` bits a line, up to `most_bits`: beyond that more lines are
+The filters have about `bits_per_byte` bits a byte of text, up to `most_bits`: beyond that more lines are
 suspected and shuffle, and the result is the same.
 """
 
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, reduce_partitions, written
+from .common import fresh, is_small, reduce_partitions, sized, written
 
 BLANK = " \t\r\f\v"
 SEGMENT_BITS = 1 << 20
+#: A line that occurs more often is heavy.
+HEAVY = 100_000
 
 
 def _eligible(line: str, min_words: int) -> bool:
@@ -111,7 +113,7 @@ def suspected_filter(docs: DataFrame, n_bits: int, min_words: int) -> np.ndarray
     return packed
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 4, bits_per_byte: float = 0.125, most_bits: int = 1 << 32, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 1, bits_per_byte: float = 0.125, most_bits: int = 1 << 32, drop_emptied: bool = False) -> DataFrame:
     """docs, each text without the lines that occur before it in the corpus.
 
     A null text stays null and an empty one empty. A null doc_id comes before all others; rows
@@ -172,15 +174,22 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 4, bits_per_byte: float = 0
     keyed = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     found = written(keyed.mapInArrow(suspects, "doc_id long, copy long, at int, line string"))
     place = F.struct("doc_id", "copy", "at")
-    firsts = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(firsts, "line").where(place != F.col("first")).groupBy(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy)).agg(F.collect_set("at").alias(its_gone))
-    clean = docs.mapInArrow(with_suspects(False), docs.schema)
-    mixed = docs.mapInArrow(with_suspects(True), docs.schema).withColumn(its_key, F.xxhash64("text"))
-    joined = mixed.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(its_key) == F.col(its_copy)), "left")
-    return clean.unionByName(joined.select(*docs.columns, its_gone).mapInArrow(rebuild, docs.schema))
-
-
-def oracle(min_words: int = 4) -> str:
+    firsts = written(found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    # A line of very many occurrences, of which there are few, isn't brought to one task.
+    heavy = sized(firsts.where(F.col("n") > HEAVY), 1000)
+    repeats = found.join(heavy.select("line"), "line", "left_anti").join(firsts, "line").unionByName(found.join(heavy, "line"))
+    gone = repeats.where(place != F.col("first")).groupBy(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy)).agg(F.collect_set("at").alias(its_gone))
+    gone = written(gone)
+    same = F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(its_key) == F.col(its_copy))
+    if is_small(gone, 100):
+        clean, mixed, side = None, docs, F.broadcast(gone)
+    else:
+        clean, mixed, side = docs.mapInArrow(with_suspects(False), docs.schema), docs.mapInArrow(with_suspects(True), docs.schema), gone.hint("shuffle_merge")
+    joined = mixed.withColumn(its_key, F.xxhash64("text")).join(side, same, "left").select(*docs.columns, its_gone).mapInArrow(rebuild, docs.schema)
+    return joined if clean is None else clean.unionByName(joined)
+
+
+def oracle(min_words: int = 1) -> str:
     return f"""
 with lines as (
   select doc_id, lang, source, unnest(string_split(text, chr(10))) as line,

@@ -1,7 +1,7 @@
 from tercet.llm.line_dedup import dedup_lines
 
 
-def brute(rows, min_words=4, drop_emptied=False):
+def brute(rows, min_words=1, drop_emptied=False):
     places = sorted({((d is not None, d or 0), i, x) for d, t in rows if t is not None for i, x in enumerate(t.split("\n")) if len(x.split()) >= min_words})
     first = {}
     for d, i, x in places:
@@ -26,9 +26,11 @@ def test_against_brute_force(spark, make, prose):
     lines = [x for t in prose(60, 1) for x in (t[:60], t[60:])]
     texts = ["\n".join(lines[(i * j) % len(lines)] for j in range(1, 9)) for i in range(80)]
     rows = list(enumerate(texts))
-    for drop in (False, True):
-        got = [tuple(r) for r in dedup_lines(make(texts), drop_emptied=drop).select("doc_id", "text").collect()]
-        assert key(got) == key(brute(rows, drop_emptied=drop))
+    rows[7] = (7, rows[7][1] + "\n\nEr.\n \t\nEr.\nhttps://an.address")
+    rows[8] = (8, rows[8][1] + "\n \t\nEr.\nhttps://an.address\n")
+    for drop, least in ((False, 1), (True, 1), (False, 4)):
+        got = [tuple(r) for r in dedup_lines(make([(*r, "en", "s") for r in rows]), drop_emptied=drop, min_words=least).select("doc_id", "text").collect()]
+        assert key(got) == key(brute(rows, drop_emptied=drop, min_words=least))
 
 
 def test_full_filters_change_nothing(make, prose, monkeypatch):
@@ -62,3 +64,14 @@ def test_null_id_comes_first(make):
     rows = [(None, "the same line of words", "en", "a"), (0, "the same line of words", "en", "a")]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(make(rows)).collect()}
     assert got == {None: "the same line of words", 0: ""}
+
+
+def test_without_a_broadcast(make, prose, monkeypatch):
+    """The other way of every join, and a line of more occurrences than HEAVY."""
+    from tercet.llm import common, line_dedup
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "HEAVY", 3)
+    rows = [(i, "\n".join([f"a line of its own number {i}", "a line that all of them have", t, f"shared by every seventh {i % 7}"])) for i, t in enumerate(prose(60, 2))]
+    got = sorted((r["doc_id"], r["text"]) for r in dedup_lines(make([(i, t, "en", "s") for i, t in rows])).collect())
+    assert got == sorted(brute(rows))
