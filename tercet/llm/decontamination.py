@@ -12,12 +12,11 @@ block gives the patterns to compare byte by byte. Many windows move at once: a b
 texts is cut into lanes, each with a window of its own, and one numpy step moves all of them.
 
 The tables are broadcast. Their size depends on the benchmark alone; a benchmark of more than
-`most_bytes` is searched part by part.
+`most_bytes` is searched part by part, with a scan of the documents for each.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,18 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_buffer, fresh, normalised_buffer, pieces
+from .common import as_buffer, normalised_buffer, pieces
 
 BLOCK = 8
 TABLE_BITS = 20
 LANE = 512
-WORDLESS = re.compile(r"[\x00-/:-`{-\x7f]+")
-
-
-def normalised(text: str) -> str:
-    return WORDLESS.sub(" ", text.lower()).strip(" ")
-
-
 class WuManber:
     """patterns: distinct byte strings, each with a space at either end."""
 
@@ -101,14 +93,27 @@ def patterns_of(items: list[tuple[int | None, str | None]], n: int) -> dict[byte
     """The items that hold each pattern. Items without an id or without words have none."""
     out: dict[bytes, set[int]] = {}
     for item, text in items:
-        words = normalised(text or "").split()
+        data, _ = normalised_buffer(pa.array([text], pa.large_string()))  # as documents are, to the byte
+        words = [w for w in data.tobytes().split(b" ") if w]
         if item is None or not words:
             continue
         for i in range(max(1, len(words) - n + 1)):
-            out.setdefault(f" {' '.join(words[i : i + n])} ".encode(), set()).add(item)
+            out.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", set()).add(item)
     return {p: sorted(i) for p, i in out.items()}
 
 
+def parts_of(benchmark: DataFrame, n: int, most_bytes: int) -> Iterator[dict[bytes, list[int]]]:
+    """The benchmark's patterns, of about most_bytes at a time; it is read row by row."""
+    part, size = [], 0
+    for row in benchmark.select("item_id", "text").toLocalIterator():
+        part.append((row["item_id"], row["text"]))
+        size += len(row["text"] or "") * n
+        if size > most_bytes:
+            yield patterns_of(part, n)
+            part, size = [], 0
+    yield patterns_of(part, n)
+
+
 def _search_part(docs: DataFrame, patterns: dict[bytes, list[int]]) -> DataFrame:
     machine = WuManber(list(patterns))
     shared = docs.sparkSession.sparkContext.broadcast((machine, [patterns[p] for p in machine.patterns]))
@@ -116,15 +121,12 @@ def _search_part(docs: DataFrame, patterns: dict[bytes, list[int]]) -> DataFrame
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, items = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            _, offsets = as_buffer(texts)
-            for a, b in pieces(offsets, 1 << 22):
-                data, begins = normalised_buffer(texts.slice(a, b - a))
+            ids = batch.column(0)
+            for a, b, doc, which in occurrences(machine, batch.column(1)):
                 found: dict[tuple[int, int], set[int]] = {}
-                for p, k in machine.search(data):
-                    doc = int(np.searchsorted(begins, p, "right")) - 1
+                for d, k in zip(doc, which):
                     for item in items[k]:
-                        found.setdefault((doc, item), set()).add(k)
+                        found.setdefault((d, item), set()).add(k)
                 if found:
                     keys = list(found)
                     yield pa.RecordBatch.from_arrays(
@@ -135,6 +137,15 @@ def _search_part(docs: DataFrame, patterns: dict[bytes, list[int]]) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(search, "doc_id long, item_id long, n_patterns long")
 
 
+def occurrences(machine: WuManber, texts: pa.Array) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """For each range a:b of the texts, in which text of it a pattern occurs, and which pattern."""
+    _, offsets = as_buffer(texts)
+    for a, b in pieces(offsets, 1 << 22):
+        data, begins = normalised_buffer(texts.slice(a, b - a))
+        found = list(machine.search(data))
+        yield a, b, (np.searchsorted(begins, [p for p, _ in found], "right") - 1).tolist(), [k for _, k in found]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, most_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, n_patterns): the documents in which text of an item occurs, and how many
     of the item's distinct patterns do.
@@ -144,24 +155,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, most_byte
     Items without an id are left out. An empty table on either side gives no rows.
     """
     schema = "doc_id long, item_id long, n_patterns long"
-    # The benchmark is small beside the corpus; it is read row by row, and searched in parts.
-    parts, part, size = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        part.append((row["item_id"], row["text"]))
-        size += len(row["text"] or "") * n
-        if size > most_bytes:
-            parts.append(part)
-            part, size = [], 0
-    found = [_search_part(docs, p) for x in [*parts, part] if (p := patterns_of(x, n))]
+    found = [_search_part(docs, p) for p in parts_of(benchmark, n, most_bytes) if p]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """The documents, all columns, in which no text of the benchmark occurs. A document with a
-    null doc_id stays unless some document with a null doc_id matches."""
-    (name,) = fresh(docs, "__bad")
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, most_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of docs, all columns, in which no text of the benchmark occurs; no shuffle. Each row is judged by its own text,
+    so rows that repeat an id, or have none, don't share a fate; null and empty texts stay. An empty
+    benchmark leaves all, an empty table stays one."""
+    for patterns in parts_of(benchmark, n, most_bytes):
+        if patterns:
+            docs = _without_part(docs, patterns)
+    return docs
+
+
+def _without_part(docs: DataFrame, patterns: dict[bytes, list[int]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(WuManber(list(patterns)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for a, _, doc, _ in occurrences(shared.value, batch.column(batch.schema.get_field_index("text"))):
+                clean[a + np.array(doc, np.int64)] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def oracle(n: int = 8) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, reduce_partitions, written
+from .common import fresh, mix, reduce_partitions, sized, written
 
 SCHEMA = "source string, doc_id long, cell long, fraction double, settled int"
 CELL = 50_000
@@ -102,16 +102,20 @@ def copies(docs: DataFrame, weights: Mapping[str, float] | None = None, *, power
     """
     spark = docs.sparkSession
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"))
-    units = units.groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("u")).select("doc_id", "u.*")
-    # One row a source: sources are few beside documents.
-    sizes = units.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
-    wanted = {r["source"]: float(weights.get(r["source"], 0.0)) if weights is not None else float(max(r["size"], 1)) ** power for r in sizes}
-    total, n_docs = sum(wanted.values()), sum(r["n"] for r in sizes)
-    rates = {r["source"]: (budget * n_docs * wanted[r["source"]] / total / r["n"] if total else 0.0, -(-r["n"] // CELL)) for r in sizes}
-    rate = spark.createDataFrame([(s, p, c) for s, (p, c) in rates.items()], "source string, rate double, cells long")
+    units = written(units.groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("u")).select("doc_id", "u.*"))
+    sizes = units.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    if weights is None:
+        sizes = sizes.withColumn("wanted", F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(power)))
+    else:
+        named = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, wanted double")
+        sizes = sizes.join(named, "source", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0.0)))
+    sizes = written(sizes)
+    total, n_docs, most = sizes.agg(F.sum("wanted"), F.sum("n"), F.max("n")).first()
+    part = budget * n_docs / total if total else 0.0
+    rate = sizes.select("source", (F.col("wanted") * part / F.col("n")).alias("rate"), F.ceil(F.col("n") / CELL).alias("cells"))
     cell = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("cells"))
-    spread = units.join(F.broadcast(rate), "source").select("source", "doc_id", cell.alias("cell"), (F.col("rate") - F.floor("rate")).alias("fraction"))
-    settled, level, cells = [], 0, max([c for _, c in rates.values()], default=1)
+    spread = units.join(sized(rate, 64), "source").select("source", "doc_id", cell.alias("cell"), (F.col("rate") - F.floor("rate")).alias("fraction"))
+    settled, level, cells = [], 0, -(-(most or 1) // CELL)
     while True:
         done = written(_round(spread, seed, level))
         settled.append(done.where("settled is not null").select("doc_id", "settled"))
@@ -125,13 +129,14 @@ def copies(docs: DataFrame, weights: Mapping[str, float] | None = None, *, power
     for s in settled[1:]:
         rounded = rounded.unionByName(s)
     rounded = rounded.select(F.col("doc_id").alias("__id"), "settled")
-    out = units.join(F.broadcast(rate), "source").join(rounded, F.col("doc_id").eqNullSafe(F.col("__id")))
+    out = units.join(sized(rate, 64), "source").join(rounded, F.col("doc_id").eqNullSafe(F.col("__id")))
     return out.select("doc_id", "source", (F.floor("rate") + F.col("settled")).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options: float) -> DataFrame:
-    """docs with a column copies (of that name, it replaces docs' own); documents of no copies go."""
+    """docs with a column copies (of that name, it replaces docs' own); documents of no copies go. Rows that repeat a doc_id, or have
+    none, have the copies that copies() gives to that id; null and empty texts count as of no characters. An empty table gives an empty one."""
     its_id, its_copies = fresh(docs, "__id", "__copies")
-    plan = copies(docs, weights, **options).where("copies > 0").select(F.col("doc_id").alias(its_id), F.col("copies").alias(its_copies))
+    plan = written(copies(docs, weights, **options).where("copies > 0").select(F.col("doc_id").alias(its_id), F.col("copies").alias(its_copies)))
     own = [c for c in docs.columns if c != "copies"]
-    return docs.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(its_id))).select(*own, F.col(its_copies).alias("copies"))
+    return docs.join(sized(plan, 16), F.col("doc_id").cast("long").eqNullSafe(F.col(its_id))).select(*own, F.col(its_copies).alias("copies"))
