@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (image, symptoms, case, action); what isn't here is undefined.
+#: (image, symptoms, case, whether a differential follows, action); what isn't here is undefined.
 GATE = (
-    ("NORMAL", "NONE", 1, "reassure"), ("NORMAL", "MILD", 2, "watch"), ("NORMAL", "SEVERE", 3, "ask_more"), ("UNCLEAR", "NONE", 4, "new_image"), ("UNCLEAR", "MILD", 5, "new_image"), ("UNCLEAR", "SEVERE", 6, "refer"),
-    ("ABNORMAL", "NONE", 7, "full_review"), ("ABNORMAL", "SEVERE", 8, "urgent_review"),
+    ("NORMAL", "NORMAL", "A", False, "reassure"), ("NORMAL", "MILD", "B", False, "gp_if_persistent"), ("NORMAL", "CONCERNING", "C", False, "gp_referral"), ("BORDERLINE", "NORMAL", "D", False, "monitor"),
+    ("BORDERLINE", "MILD", "E", True, "low_confidence_differential"), ("BORDERLINE", "CONCERNING", "F", True, "moderate_differential"), ("ABNORMAL", "NORMAL", "G", True, "differential_asymptomatic"),
+    ("ABNORMAL", "CONCERNING", "H", True, "full_differential"),
 )
 
 
 def gated(cases: DataFrame, gate: Sequence[tuple] = GATE) -> DataFrame:
-    """cases: (.., image, symptoms). With the gate's case and action, null where it has none."""
-    table = cases.sparkSession.createDataFrame(list(gate), "image string, symptoms string, gate_case int, action string")
+    """cases: (.., image, symptoms). With the gate's case, whether it goes on to a differential, and its action; null where it has none."""
+    table = cases.sparkSession.createDataFrame(list(gate), "image string, symptoms string, gate_case string, proceeds boolean, action string")
     return cases.join(F.broadcast(table), ["image", "symptoms"], "left")
 
 
@@ -27,7 +28,7 @@ def blended(visual: DataFrame, said: DataFrame, weight: float = 0.7) -> DataFram
     return mixed.select("case_id", "condition", F.bround(F.try_divide("m", F.sum("m").over(Window.partitionBy("case_id"))), 3).alias("blended"))
 
 
-REPORT = "struct<diagnoses:array<struct<name:string,confidence:int,severity:string,features:array<string>>>>"
+REPORT = "struct<diagnoses:array<struct<condition:string,confidence:int,severity:string,distinguishingFeatures:array<string>>>>"
 
 
 def report_faults(report: Column) -> Column:
@@ -38,7 +39,7 @@ def report_faults(report: Column) -> Column:
         "too_many": F.size(d) > 3,
         "confidence": F.exists(d, lambda x: ~F.coalesce(x["confidence"].between(50, 95), F.lit(False))),
         "severity": F.exists(d, lambda x: ~F.coalesce(x["severity"].isin("mild", "moderate", "severe"), F.lit(False))),
-        "few_features": F.exists(d, lambda x: F.coalesce(F.size(x["features"]), F.lit(0)) < 3),
-        "repeated": F.size(F.array_distinct(F.transform(d, lambda x: x["name"]))) < F.size(d),
+        "few_features": F.exists(d, lambda x: F.coalesce(F.size(x["distinguishingFeatures"]), F.lit(0)) < 3),
+        "repeated": F.size(F.array_distinct(F.transform(d, lambda x: x["condition"]))) < F.size(d),
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for name, t in tests.items())))

@@ -107,10 +107,14 @@ def usage_totals(answered: DataFrame) -> DataFrame:
 
 
 def errors(lines: DataFrame) -> DataFrame:
-    """(code, n_errors, ids) of lines that name an error."""
+    """(code, n_errors) of lines that name an error; failed_ids has their ids."""
+    return failed_ids(lines).groupBy("code").agg(F.count("*").alias("n_errors"))
+
+
+def failed_ids(lines: DataFrame) -> DataFrame:
+    """(custom_id, code), a row a line that names an error."""
     row = F.from_json("line", "struct<custom_id:string,error:struct<code:string>>").alias("r")
-    bad = lines.select(row).where("r.error is not null")
-    return bad.groupBy(F.coalesce("r.error.code", F.lit("unknown")).alias("code")).agg(F.count("*").alias("n_errors"), F.concat_ws(",", F.array_sort(F.collect_set("r.custom_id"))).alias("ids"))
+    return lines.select(row).where("r.error is not null").select("r.custom_id", F.coalesce("r.error.code", F.lit("unknown")).alias("code"))
 
 
 def unanswered(sent: DataFrame, answered: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import without_thoughts
 
 #: Keys under which models put the list of items.
-WRAPPERS = ("captions", "results", "items", "data", "output")
+WRAPPERS = ("captions", "results", "items", "data", "outputs")
 ITEM = "map<string,array<string>>"
 
 
@@ -20,15 +20,29 @@ def whole(text: Column) -> Column:
 
 
 def items_of(v: Column) -> Column:
-    """The list of items as JSON texts: the answer itself, or what stands under one of the WRAPPERS; null if there is no list."""
+    """The list of items as JSON texts: the answer itself, what stands under one of the WRAPPERS, or the values of an object whose keys
+    are all numbers, in their order; null if there is no list."""
     ways = [F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in WRAPPERS)]
-    return F.transform(F.coalesce(*ways), lambda x: F.to_json(x))
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    numbered = (F.size(entries) > 0) & F.forall(entries, lambda e: e["key"].rlike("^[0-9]{1,18}$"))
+    by_number = F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("bigint").alias("k"), F.to_json(e["value"]).alias("v"))))
+    return F.coalesce(F.transform(F.coalesce(*ways), lambda x: F.to_json(x)), F.when(numbered, by_number["v"]))
+
+
+def _nested(depth: int) -> str:
+    """A complete JSON object of at most so many levels; braces within strings don't count. The quantifiers don't go back, so long texts need no deep stack."""
+    text = r'"(?:[^"\\]++|\\.)*+"'
+    out = rf'\{{(?:[^{{}}"]++|{text})*+\}}'
+    for _ in range(depth - 1):
+        out = rf'\{{(?:[^{{}}"]++|{text}|{out})*+\}}'
+    return out
 
 
 def salvaged(text: Column) -> Column:
-    """The complete flat objects of a list that breaks off."""
-    inner = F.regexp_replace(text, r'(?s)^\s*\{\s*"\w+"\s*:\s*\[', "[")
-    return F.regexp_extract_all(inner, F.lit(r"(\{[^{}]*\})"), F.lit(1))
+    """The complete objects, of up to four levels, that a list begins with before it breaks off; what isn't an object is left out."""
+    inner = F.regexp_replace(text, r'(?s)^[^\[{]*+\{\s*"\w+"\s*:\s*\[', "[")
+    skipped = r'[\s\[,]*+(?:(?:"(?:[^"\\]++|\\.)*+"|[^\s\[\],{}"]++)[\s,]*+)*+'
+    return F.regexp_extract_all(inner, F.lit(rf"(?s)\G{skipped}({_nested(4)})"), F.lit(1))
 
 
 def parsed(answers: DataFrame) -> DataFrame:

@@ -149,10 +149,13 @@ def classwise_odds(wide: DataFrame, features: Sequence[str], by: str, top: int =
 def questionnaire(odds: DataFrame, clusters: DataFrame, questions: Mapping[str, str], top: int = 10) -> DataFrame:
     """clusters: (cluster, label). For each cluster the `top` features by mean odds ratio over the members whose list has the feature, with a question."""
     known = odds.sparkSession.createDataFrame(list(questions.items()) or [(None, None)], "feature string, known string")
-    mean = odds.join(F.broadcast(clusters), "label").groupBy("cluster", "feature").agg(F.bround(F.avg("odds_ratio"), 3).alias("discriminatory_score"))
+    # Odds have three digits: as whole thousandths their mean doesn't hang on the order of summation.
+    thousandths = F.sum(F.round(F.col("odds_ratio") * 1000).cast("decimal(38,0)"))
+    mean = odds.join(F.broadcast(clusters), "label").groupBy("cluster", "feature").agg((thousandths / F.count("*")).alias("mean"))
+    mean = mean.select("cluster", "feature", (F.bround("mean", 0).cast("double") / 1000).alias("discriminatory_score"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("discriminatory_score"), "feature"))
     best = mean.withColumn("rank", rank).where(F.col("rank") <= top).join(F.broadcast(known), "feature", "left")
-    template = F.concat(F.lit("Is there evidence of "), F.regexp_replace("feature", "_", " "), F.lit("?"))
+    template = F.concat(F.lit("Does the patient show signs of "), F.regexp_replace("feature", "_", " "), F.lit("?"))
     return best.select("cluster", "rank", "feature", "discriminatory_score", F.coalesce("known", template).alias("question"))
 
 

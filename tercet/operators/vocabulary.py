@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import feature_name, normalised, singular_candidates
 
-NOISE = ("n/a", "na", "nil", "no", "none", "not_applicable", "not_specified", "null", "unclear", "unknown", "unspecified", "yes")
+#: Values that say nothing, in normalised form.
+NOISE = ("miscellaneous", "n_a", "na", "nan", "no_history", "no_treatment", "none", "none_mentioned", "not_mentioned", "not_specified", "null", "other", "unknown", "various")
+#: Categories whose values are enumerated.
+ENUMS = {
+    "demographics_age": ("0-5", "5-10", *(f"{k}-{k + 10}" for k in range(10, 80, 10)), "80-plus"),
+    "demographics_sex": ("female", "male", "other"),
+    "duration": ("hours", "days", "weeks", "months", "years", "chronic"),
+    "lesion_count": ("single", "few_2_to_5", "multiple_6_to_20", "many_20_plus", "numerous"),
+    "severity": ("mild", "moderate", "severe", "very_severe"),
+}
+#: A category with two scales: where one value of the first is there, only those of the first stay, else only those of the second.
+SCALES = {"demographics_skin_type": (tuple(f"fst{k}" for k in range(1, 7)), ("fair", "light", "medium", "olive", "brown", "dark", "deeply_pigmented"))}
 
 
 def merged(raw: DataFrame) -> DataFrame:
@@ -33,11 +44,21 @@ def allowed(vocabulary: DataFrame, enums: Mapping[str, Sequence[str]], noise: Se
     return inside.unionByName(vocabulary.where(~closed & ~F.col("value").isin(list(noise))))
 
 
-def one_scale(vocabulary: DataFrame, category: str, prefix: str) -> DataFrame:
-    """Where a category has values of a scale, marked by a prefix, only these of it stay."""
-    scaled = F.startswith("value", F.lit(prefix))
-    some = F.max(scaled).over(Window.partitionBy("category"))
-    return vocabulary.withColumn("__some", some).where((F.col("category") != category) | ~F.col("__some") | scaled).drop("__some")
+def one_scale(vocabulary: DataFrame, scales: Mapping[str, tuple[Sequence[str], Sequence[str]]] = SCALES) -> DataFrame:
+    """Of a category with two scales the values of the first, if it has any, else those of the second; others stay as they are."""
+    out = vocabulary
+    for category, (first, second) in scales.items():
+        own = F.col("category") == category
+        some = F.max(own & F.col("value").isin(list(first))).over(Window.partitionBy("category"))
+        kept = F.when(F.col("__some"), F.col("value").isin(list(first))).otherwise(F.col("value").isin(list(second)))
+        out = out.withColumn("__some", some).where(~own | kept).drop("__some")
+    return out
+
+
+def enforced(vocabulary: DataFrame, enums: Mapping[str, Sequence[str]] = ENUMS, scales: Mapping[str, tuple[Sequence[str], Sequence[str]]] = SCALES, noise: Sequence[str] = NOISE) -> DataFrame:
+    """Enumerations, scales and noise at once, on normalised values; a category with scales has no noise of its own."""
+    scaled = F.col("category").isin(list(scales))
+    return one_scale(vocabulary.where(scaled), scales).unionByName(allowed(vocabulary.where(~scaled), enums, noise))
 
 
 def with_values(vocabulary: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:

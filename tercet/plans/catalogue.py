@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import captions, decisions, extract, requests, responses, signatures, statistics, tristate, vocabulary
-from . import fixtures
+from . import cases, fixtures
 from .fixtures import CATEGORIES, FEATURES, LEXICON, MAPPING, ORDER_FEATURES, table
 from .oracles import ORACLES
 
@@ -301,7 +301,8 @@ def plural_collapse(spark, d):
 
 @query
 def plural_candidates(spark, d):
-    words = values(spark, "word string", [(w,) for w in ("papules", "patches", "bodies", "virus", "abscess", "boxes", "noses", "s", "ies", "waves", "glass", "buzzes")])
+    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w"), "p_partkey")
+    words = names.select(F.concat("w", F.element_at(F.array(*map(F.lit, cases.ENDINGS)), (F.col("p_partkey") % len(cases.ENDINGS) + 1).cast("int"))).alias("word")).distinct()
     return words.select("word", F.concat_ws("|", X.singular_candidates("word")).alias("singulars"))
 
 
@@ -311,6 +312,12 @@ def enum_filter(spark, d):
     return vocabulary.allowed(raw, {"type": ["economy", "promo"]})
 
 
+@query
+def enforced_enums(spark, d):
+    """The enumerations, scales and noise as they are by default, over values put together from keys."""
+    return vocabulary.enforced(vocabulary.merged(cases.raw_values(spark, d)))
+
+
 @query
 def vocab_union(spark, d):
     return vocabulary.with_values(vocabulary.merged(_raw_words(spark, d)), [("brand#11", "extra"), ("brand#99", "new"), ("brand#99", "new")])
@@ -328,16 +335,32 @@ def safe_names(spark, d):
     return urls.select("page_id", X.safe_name("url").alias("file_name"), X.short_label("url", 20).alias("label"))
 
 
-FACTS = [
-    (1, "A 45-year-old man with a sudden rash for 3 days, multiple spots, likely eczema"), (2, "female aged 72, slowly growing single nodule over two years"), (3, "Girl, 7 yrs old, red patches since birth, biopsy confirmed"),
-    (4, "no facts at all"), (5, ""), (6, None), (7, "The woman and her boy: weeks of itching, possible scabies"), (8, "80 year old, few lesions, 2 months, rule out melanoma"), (9, "15 y/o boy; acute, a couple of blisters today"),
-]
-TERMS = {"color_red": ["red", "pink"], "place_face": ["face", "cheek"], "itch": ["itch"]}
+def _facts(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: extract.facts(cases.captions(spark, d), "text", ["id"], {}).select("id", *columns)
+
+
+for _name, _columns in cases.FACT_COLUMNS.items():
+    _QUERIES[f"regex_{_name}"] = _facts(*_columns)
+
+
+def _keywords(lexicon: dict[str, list[str]]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        wide = extract.facts(cases.captions(spark, d), "text", ["id"], lexicon).withColumn("bucket", F.col("id") % 5)
+        sums = wide.groupBy("bucket").agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(f) == 1).alias(f) for f in lexicon))
+        return sums.unpivot(["bucket", "n_rows"], list(lexicon), "feature", "n_present").select("feature", "bucket", "n_present", "n_rows")
+
+    return run
+
+
+for _name, _lexicon in cases.LEXICONS.items():
+    _QUERIES[f"keyword_{_name}"] = _keywords(_lexicon)
 
 
 @query
 def extracted_facts(spark, d):
-    return extract.facts(values(spark, "id int, text string", FACTS), "text", ["id"], TERMS)
+    """What the rules tell of whole documents."""
+    facts = extract.facts(table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7f]", "_")), "text", ["doc_id"], {})
+    return facts.drop("doc_id").groupBy(facts.columns[1:]).agg(F.count("*").alias("n_documents"))
 
 
 @query
@@ -348,10 +371,7 @@ def keyword_lane(spark, d):
 
 @query
 def encoded_answers(spark, d):
-    rows = [
-        (1, "lex_a", "the"), (1, "lex_a", "ing"), (1, "lex_b", "nothing"), (2, "lex_a", "lex_a_she"), (2, "other", "x"), (3, "lex_d", " Hand "), (3, "lex_d", "hand"), (3, "lex_e", None), (4, None, None), (5, "lex_c", "QUE"), (5, "lex_c", "los angeles"),
-    ]
-    return tristate.encode(values(spark, "id int, category string, value string", rows), LEXICON, "id")
+    return tristate.encode(cases.said_values(spark, d), LEXICON, "id")
 
 
 @query
@@ -360,42 +380,28 @@ def all_unknown_audit(spark, d):
     return tristate.all_unknown(tristate.keyword_matrix(docs, "text", {c: LEXICON[c] for c in ("lex_c", "lex_e")}, ["text"]), [f for f in FEATURES if CATEGORIES[f] in ("lex_c", "lex_e")], "text", least=300)
 
 
-ANSWERS = [
-    (1, '{"captions":[{"a":["x"]},{"a":["y"],"b":[]}]}', 2, "stop", 30), (2, '```json\n[{"a":["x"]}]\n```', 2, "stop", 30), (3, '<think>so {</think>{"results":[{"a":["x"]},{"a":[]},{"b":["z"]}]}', 2, "stop", 30),
-    (4, '{"captions":[{"a":["x"]},{"a":["y"', 2, "length", 30), (5, "I can't say", 2, "stop", 30), (6, '{"captions":["x","y"]}', 2, "stop", 30), (7, '{"captions":[{"a":[]}]}', 2, "stop", 30),
-    (8, '{"captions":[{"a":[]},{}]}', 2, "stop", 30), (9, None, 2, "stop", 30), (10, 'Here: {"captions":[{"a":["x"]},{"b":["q"]}]} done', 2, "stop", 3), (11, '{"a":["x"]}', 1, "stop", 30), (12, '{"captions":[{"a":[]},{}]}', 2, "stop", 3),
-]
-
-
-def _answers(spark):
-    return responses.parsed(values(spark, "id int, text string, n_expected int, finish string, longest int", ANSWERS))
+def _answers(spark, d):
+    return responses.parsed(cases.answers(spark, d))
 
 
 @query
 def llm_parse_status(spark, d):
-    return _answers(spark).select("id", "status", "n_items", "n_nontrivial")
+    return _answers(spark, d).select("id", "status", "n_items", "n_nontrivial")
 
 
 @query
 def retry_action(spark, d):
-    return _answers(spark).select("id", responses.retry_action(F.col("status"), F.col("finish"), F.col("n_nontrivial"), F.col("longest")).alias("action"))
+    return _answers(spark, d).select("id", responses.retry_action(F.col("status"), F.col("finish"), F.col("n_nontrivial"), F.col("longest")).alias("action"))
 
 
 @query
 def answered_values(spark, d):
-    return responses.category_values(_answers(spark), "id")
-
-
-LINES = [
-    ('{"custom_id":"r1","error":null,"response":{"status_code":200,"body":{"usage":{"prompt_tokens":10,"completion_tokens":4,"prompt_tokens_details":{"cached_tokens":6}},"choices":[{"finish_reason":"stop","message":{"content":"one"}}]}}}',),
-    ('{"custom_id":"r2","error":null,"response":{"status_code":200,"body":"{\\"usage\\":{\\"prompt_tokens\\":7,\\"completion_tokens\\":2},\\"choices\\":[{\\"finish_reason\\":\\"length\\",\\"message\\":{\\"content\\":\\"two\\"}}]}"}}',),
-    ('{"custom_id":"r3","error":{"code":"rate_limit"},"response":null}',), ('{"custom_id":"r4","error":null,"response":{"status_code":500,"body":"{}"}}',), ("not json",), ('{"custom_id":"r5","error":{"code":"rate_limit"}}',), ('{"custom_id":"r6","error":{"message":"x"}}',),
-]
+    return responses.category_values(_answers(spark, d), "id")
 
 
 @query
 def batch_answers(spark, d):
-    return requests.answers(values(spark, "line string", LINES))
+    return requests.answers(cases.lines(spark, d))
 
 
 @query
@@ -405,12 +411,12 @@ def batch_output_usage(spark, d):
 
 @query
 def unanswered_requests(spark, d):
-    return requests.unanswered(values(spark, "custom_id string", [(f"r{i}",) for i in range(1, 8)]), batch_answers(spark, d))
+    return requests.unanswered(table(spark, d, "orders").select(F.concat(F.lit("r"), "o_orderkey").alias("custom_id")), batch_answers(spark, d))
 
 
 @query
 def error_histogram(spark, d):
-    return requests.errors(values(spark, "line string", LINES))
+    return requests.errors(cases.lines(spark, d))
 
 
 @query
@@ -446,20 +452,14 @@ def caption_lengths(spark, d):
 @query
 def gate_matrix(spark, d):
     orders = table(spark, d, "orders")
-    image = F.when(F.col("o_orderstatus") == "O", "NORMAL").when(F.col("o_orderstatus") == "F", "ABNORMAL").otherwise("UNCLEAR")
-    symptoms = F.when(F.col("o_totalprice") > 300_000, "SEVERE").when(F.col("o_totalprice") > 100_000, "MILD").otherwise("NONE")
-    return decisions.gated(orders.select(image.alias("image"), symptoms.alias("symptoms"))).groupBy("image", "symptoms", "gate_case", "action").agg(F.count("*").alias("n_cases"))
-
-
-REPORTS = [
-    (1, '{"diagnoses":[{"name":"a","confidence":80,"severity":"mild","features":["x","y","z"]}]}'), (2, '{"diagnoses":[]}'), (3, "no"), (4, '{"diagnoses":[{"name":"a","confidence":99,"severity":"bad","features":["x"]},{"name":"a","confidence":60,"severity":"severe","features":["x","y","z"]}]}'),
-    (5, None), (6, '{"diagnoses":[' + ",".join(f'{{"name":"d{i}","confidence":50,"severity":"moderate","features":["x","y","z"]}}' for i in range(4)) + "]}"),
-]
+    image = F.when(F.col("o_orderstatus") == "O", "NORMAL").when(F.col("o_orderstatus") == "F", "ABNORMAL").otherwise("BORDERLINE")
+    symptoms = F.when(F.col("o_totalprice") > 300_000, "CONCERNING").when(F.col("o_totalprice") > 100_000, "MILD").otherwise("NORMAL")
+    return decisions.gated(orders.select(image.alias("image"), symptoms.alias("symptoms"))).groupBy("image", "symptoms", "gate_case", "proceeds", "action").agg(F.count("*").alias("n_cases"))
 
 
 @query
 def report_validate(spark, d):
-    return values(spark, "id int, report string", REPORTS).select("id", F.concat_ws(",", decisions.report_faults(F.col("report"))).alias("faults"))
+    return cases.reports(spark, d).select("id", F.concat_ws(",", decisions.report_faults(F.col("report"))).alias("faults"))
 
 
 @query

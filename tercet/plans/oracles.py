@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import cases
 from .fixtures import LEXICON, MAPPING
 
 _TERMS = [(i, f"{c}_{v}", c, t[0]) for i, (c, v, t) in enumerate((c, v, t) for c, vs in LEXICON.items() for v, t in vs.items())]
@@ -111,9 +112,9 @@ from c join dim using (feature) left join m using (feature) group by feature""",
     "classwise_odds": f"with {_DOCS}, {_odds(8)} select * from odds",
     "odds_of_order_lines": f"with {_LINES}, {_odds(20)} select * from odds",
     "questionnaire": f"""with {_DOCS}, {_odds(20)}, clusters(cluster, label) as (values ('all','en'),('all','de'),('all','fr'),('all','es'),('en','en'),('en','de'),('en','xx'),('de','de'),('de','en'),('fr','fr'),('fr','es'),('es','es'),('es','fr')),
-m as (select cluster, feature, round_even(avg(odds_ratio), 3) as discriminatory_score from odds join clusters using (label) group by all)
+m as (select cluster, feature, round_even(sum(round(odds_ratio*1000)::hugeint)::decimal(38,0) / count(*), 0)::double / 1000 as discriminatory_score from odds join clusters using (label) group by all)
 select cluster, row_number() over (partition by cluster order by discriminatory_score desc, feature) as rank, feature, discriminatory_score,
-  case feature when 'lex_a_the' then 'Is the article there?' else 'Is there evidence of ' || replace(feature, '_', ' ') || '?' end as question from m qualify rank <= 5""",
+  case feature when 'lex_a_the' then 'Is the article there?' else 'Does the patient show signs of ' || replace(feature, '_', ' ') || '?' end as question from m qualify rank <= 5""",
     "importance_context": f"""with {_DOCS}, {_CELLS}, {_MI}, {_CHI}, {_GAP}
 select mi.feature, mutual_information, mi.n_informed, chi2_statistic, cramers_v, primary_pct_informed, comparison_pct_available, gap, mi.feature in ({", ".join(f"'{f}'" for f in MAPPING)}) as is_compared
 from mi join chis using (feature) left join gaps using (feature)""",
@@ -202,28 +203,38 @@ select case when len({_TEXT}) >= 300 then 'silent_empty' else 'short_text' end a
 select case when z = a then 4 else least(7, floor((informativeness - a)/((z - a)/8))) end::int as bin, count(*) as n_features from c cross join e group by bin""",
     "caption_lengths": f"""with n as (select length(text) as n from documents where {_TEXT} <> ''), b as (select case when n >= 1000 then 1000 when n >= 500 then 500 when n >= 400 then 400 when n >= 300 then 300 when n >= 250 then 250 when n >= 200 then 200 when n >= 150 then 150 when n >= 100 then 100 when n >= 50 then 50 else 0 end::int as bin from n)
 select bin, count(*) as n_texts, round_even(100.0*count(*)/sum(count(*)) over (), 1) as percentage from b group by bin""",
-    "gate_matrix": """with c as (select case o_orderstatus when 'O' then 'NORMAL' when 'F' then 'ABNORMAL' else 'UNCLEAR' end as image, case when o_totalprice > 300000 then 'SEVERE' when o_totalprice > 100000 then 'MILD' else 'NONE' end as symptoms from orders),
-g(image, symptoms, gate_case, action) as (values ('NORMAL','NONE',1,'reassure'),('NORMAL','MILD',2,'watch'),('NORMAL','SEVERE',3,'ask_more'),('UNCLEAR','NONE',4,'new_image'),('UNCLEAR','MILD',5,'new_image'),('UNCLEAR','SEVERE',6,'refer'),('ABNORMAL','NONE',7,'full_review'),('ABNORMAL','SEVERE',8,'urgent_review'))
-select image, symptoms, gate_case, action, count(*) as n_cases from c left join g using (image, symptoms) group by all""",
     "merged_questionnaire": """select d.doc_id, case quality when 1 then 1 when 0 then 0 else 2 end::tinyint as quality, case toxic when 1 then 1 when 0 then 0 else 2 end::tinyint as toxic,
   case when quality = 1 or toxic = 1 then 1 when quality is null and toxic is null then 2 else 0 end::tinyint as either from documents d left join labels using (doc_id)""",
-    "plural_candidates": """select * from (values ('papules','papul|papule'),('patches','patch'),('bodies','body'),('virus',''),('abscess',''),('boxes','box'),('noses','nose'),('s',''),('ies','i|ie'),('waves','wav|wave'),('glass',''),('buzzes','buzz')) t(word, singulars)""",
-    "extracted_facts": """select id::int as id, age::int as age, age_group, sex::tinyint as sex, duration, onset::tinyint as onset_sudden, certainty, n::int as lesion_count, red::tinyint as color_red, face::tinyint as place_face, itch::tinyint as itch from (values
-  (1, 45, 'middle_aged', 1, 'days', 1, 'probable', 3, 2, 2, 2), (2, 72, 'senior', 0, 'years', 0, 'unstated', 1, 2, 2, 2), (3, 7, 'child', 0, 'since_childhood', 2, 'confirmed', 0, 1, 2, 2), (4, null, 'unknown', 2, 'unknown', 2, 'unstated', 0, 2, 2, 2),
-  (5, null, 'unknown', 2, 'unknown', 2, 'unstated', 0, 2, 2, 2), (6, null, 'unknown', 2, 'unknown', 2, 'unstated', 0, 2, 2, 2), (7, null, 'unknown', 0, 'weeks', 2, 'suspected', 0, 2, 2, 1), (8, 80, '75_plus', 2, 'up_to_3_months', 2, 'differential', 2, 2, 2, 2),
-  (9, 15, 'adolescent', 1, '1_day', 1, 'unstated', 2, 2, 2, 2)) t(id, age, age_group, sex, duration, onset, certainty, n, red, face, itch)""",
-    "llm_parse_status": """select id::int as id, status, n::bigint as n_items, k::bigint as n_nontrivial from (values (1,'ok',2,2),(2,'short',1,1),(3,'loop',3,1),(4,'salvaged',1,1),(5,'unparseable',0,0),(6,'shape',0,0),(7,'short',1,0),(8,'ok',2,0),(9,'unparseable',0,0),(10,'ok',2,2),(11,'shape',0,0),(12,'ok',2,0)) t(id, status, n, k)""",
-    "retry_action": """select id::int as id, action from (values (1,'accept'),(2,'redo_tail'),(3,'accept'),(4,'redo_tail'),(5,'redo_all'),(6,'give_up'),(7,'redo_all'),(8,'remind'),(9,'redo_all'),(10,'accept'),(11,'give_up'),(12,'accept')) t(id, action)""",
-    "batch_answers": "select custom_id, content, finish_reason, p::bigint as prompt_tokens, c::bigint as completion_tokens, h::bigint as cached_tokens from (values ('r1','one','stop',10,4,6),('r2','two','length',7,2,0)) t(custom_id, content, finish_reason, p, c, h)",
-    "batch_output_usage": "select 2::bigint as n_answers, 17::bigint as prompt_tokens, 6::bigint as completion_tokens, 6::bigint as cached_tokens",
-    "unanswered_requests": "select * from (values ('r3'),('r4'),('r5'),('r6'),('r7')) t(custom_id)",
-    "error_histogram": "select code, n::bigint as n_errors, ids from (values ('rate_limit',2,'r3,r5'),('unknown',1,'r6')) t(code, n, ids)",
-    "report_validate": "select id::int as id, faults from (values (1,''),(2,'unreadable'),(3,'unreadable'),(4,'confidence,severity,few_features,repeated'),(5,'unreadable'),(6,'too_many')) t(id, faults)",
-    "encoded_answers": """with s(id, feature, v) as (values (1,'lex_a_the',1),(1,'lex_a_ing',1),(1,'lex_a_she',0),(1,'lex_a_red',0),(2,'lex_a_the',0),(2,'lex_a_ing',0),(2,'lex_a_she',1),(2,'lex_a_red',0),(3,'lex_d_hand',1),(3,'lex_d_ring',0),(3,'lex_d_arm',0),(5,'lex_c_que',1),(5,'lex_c_los',0)),
-i(id, fixes) as (values (1,1),(2,1),(3,0),(4,0),(5,1))
-select id::int as id, fixes::bigint as fixes, """ + ", ".join(f"coalesce((select max(v) from s where s.id = i.id and feature = '{f}'), 2)::tinyint as {f}" for _, f, _, _ in _TERMS) + " from i",
     "schema_document": """with v as (select distinct lower(p_brand) as category, lower(p_type) as value from part), g as (select category, list(value order by value) as features, coalesce(list(value order by value) filter (where category = 'brand#11' and value = 'economy'), []) as c from v group by category)
 select category, len(features)::bigint as n_features, '{"category":"' || category || '","features":[' || array_to_string(list_transform(features, lambda x: '"' || x || '"'), ',') || '],"comparable_features":[' || array_to_string(list_transform(c, lambda x: '"' || x || '"'), ',') || ']}' as document from g""",
-    "answered_values": """select id::int as id, place::int as place, category, value from (values (1,0,'a','x'),(1,1,'a','y'),(2,0,'a','x'),(3,0,'a','x'),(4,0,'a','x'),(10,0,'a','x'),(10,1,'b','q')) t(id, place, category, value)""",
 }
 ORACLES["blend_scores"] = "with " + ORACLES["blend_scores"].split("\n", 1)[0].removeprefix("with ") + "\n" + "\n".join(x for x in ORACLES["blend_scores"].split("\n")[1:] if not x.startswith("s as"))
+
+ORACLES |= {f"regex_{k}": f"with {cases.CAPTIONS_SQL} {v}" for k, v in cases.FACTS_SQL.items()} | {f"keyword_{k}": cases.keyword_sql(v) for k, v in cases.LEXICONS.items()}
+_ALL = ", ".join(f"f_{k} as ({v})" for k, v in cases.FACTS_SQL.items())
+ORACLES |= {
+    "extracted_facts": "with c as (select doc_id as id, lower(regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g')) as t from documents), " + _ALL + " select age_numeric, age_group, sex, fitzpatrick_skin_type, duration_bucket, onset_sudden, diagnosis_confidence, lesion_count, count(*) as n_documents from "
+    + " join ".join(f"f_{k}" + (" using (id)" if i else "") for i, k in enumerate(cases.FACTS_SQL)) + " group by all",
+    "gate_matrix": """with c as (select case o_orderstatus when 'O' then 'NORMAL' when 'F' then 'ABNORMAL' else 'BORDERLINE' end as image, case when o_totalprice > 300000 then 'CONCERNING' when o_totalprice > 100000 then 'MILD' else 'NORMAL' end as symptoms from orders)
+select image, symptoms, case image when 'NORMAL' then case symptoms when 'NORMAL' then 'A' when 'MILD' then 'B' else 'C' end when 'BORDERLINE' then case symptoms when 'NORMAL' then 'D' when 'MILD' then 'E' else 'F' end else case symptoms when 'NORMAL' then 'G' when 'CONCERNING' then 'H' end end as gate_case,
+  case when image = 'NORMAL' or (image = 'BORDERLINE' and symptoms = 'NORMAL') then false when image = 'ABNORMAL' and symptoms = 'MILD' then null else true end as proceeds,
+  case gate_case when 'A' then 'reassure' when 'B' then 'gp_if_persistent' when 'C' then 'gp_referral' when 'D' then 'monitor' when 'E' then 'low_confidence_differential' when 'F' then 'moderate_differential' when 'G' then 'differential_asymptomatic' when 'H' then 'full_differential' end as action, count(*) as n_cases from c group by all""",
+    "report_validate": f"with {cases.REPORTS_SQL}",
+    "enforced_enums": f"with {cases.RAW_SQL}",
+    "plural_candidates": f"""with w as (select distinct w || [{", ".join(repr(e) for e in cases.ENDINGS)}][1 + p_partkey % {len(cases.ENDINGS)}] as word from (select unnest(string_split(p_name, ' ')) as w, p_partkey from part))
+select word, case when word like '%ies' and len(word) > 3 then word[:-4] || 'y' when regexp_matches(word, '(ch|sh|x|z)es$') and len(word) > 4 then word[:-3] when word like '%es' and word not like '%ses' and len(word) > 2 then word[:-3] || '|' || word[:-2]
+  when word like '%s' and not regexp_matches(word, '(ss|us)$') and len(word) > 1 then word[:-2] else '' end as singulars from w""",
+    "llm_parse_status": f"with {cases.ANSWERS_SQL} select id, status, n::bigint as n_items, k::bigint as n_nontrivial from p",
+    "retry_action": f"""with {cases.ANSWERS_SQL} select id, case when status in ('ok', 'loop') then case when k = 0 and longest >= 15 then 'remind' else 'accept' end when status = 'shape' then 'give_up' when status = 'short' and shape <> 9 and k = 0 then 'redo_all'
+  when status in ('short', 'salvaged') then 'redo_tail' else 'redo_all' end as action from p""",
+    "answered_values": f"with {cases.ANSWERS_SQL}, {cases.VALUES_SQL} select id, place::int as place, category, value from p join v using (shape) where not missing and place < want",
+    "batch_answers": f"with {cases.LINES_SQL} select * from b",
+    "batch_output_usage": f"with {cases.LINES_SQL} select count(*) as n_answers, coalesce(sum(prompt_tokens), 0)::bigint as prompt_tokens, coalesce(sum(completion_tokens), 0)::bigint as completion_tokens, coalesce(sum(cached_tokens), 0)::bigint as cached_tokens from b",
+    "unanswered_requests": "select 'r' || o_orderkey as custom_id from orders where o_custkey % 7 not in (0, 1, 6)",
+    "error_histogram": "select case when o_custkey % 7 = 2 then 'rate_limit' else 'unknown' end as code, count(*) as n_errors from orders where o_custkey % 7 in (2, 5) group by code",
+    "encoded_answers": f"""with said(i, category, value, meant) as (values {", ".join(f"({i}, {repr(c) if c else 'null'}, {repr(v) if v else 'null'}, {repr(m) if m else 'null'})" for i, ((c, v), m) in enumerate(zip(cases.SAID, cases.MEANT)))}),
+k as (select c_custkey as id, unnest(case when c_custkey % 2 = 0 then [c_custkey, c_custkey * 3 + 1] else [c_custkey, c_custkey * 5 + 2, c_custkey + 7] end) as step from customer),
+s as (select id, category, value, meant from k join said on step % {len(cases.SAID)} = i),
+fx as (select id, count(*) filter (where value is not null and meant is null) as fixes from s group by id)
+select id, fixes, """ + ", ".join(f"case when bool_or(meant = '{f}') then 1 when bool_or(meant like '{c}%') then 0 else 2 end::tinyint as {f}" for _, f, c, _ in _TERMS) + " from s join fx using (id) group by id, fixes",
+}

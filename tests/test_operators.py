@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tercet.functions import text as X
-from tercet.operators import captions, extract, requests, responses, signatures, statistics, tristate
+from tercet.operators import captions, extract, requests, responses, signatures, statistics, tristate, vocabulary
 from tercet.sources import files
 from tercet.streaming import incremental
 
@@ -138,3 +138,33 @@ def test_sample_size(spark):
     df = spark.createDataFrame([(n,) for n in (1, 200, 201, 1000, 1001, 5000, 5001)], "n long")
     assert [r[0] for r in df.select(captions.sample_size(F.col("n"))).collect()] == [1, 200, 200, 200, 300, 300, 500]
     assert math.isclose(first(spark, requests.output_budget(F.col("c"), True), 10, "long"), 2400)
+
+
+def test_salvage_of_nested_objects_and_strings_with_braces(spark):
+    want = {
+        '[{"a":{"b":[{"c":1}]},"d":"}{\\"]"},{"a":["q': ['{"a":{"b":[{"c":1}]},"d":"}{\\"]"}'],
+        '{"outputs":["x", 3, {"a":1}, null, {"b":{"c":{"d":{}}}}, {"e":{"f":1}, "g"': ['{"a":1}', '{"b":{"c":{"d":{}}}}'],
+        '[{"a":{"b":1}': [],
+        '{"captions":[{"long":"' + "w " * 200_000 + '"},{"cut': ['{"long":"' + "w " * 200_000 + '"}'],
+    }
+    for text, items in want.items():
+        df = spark.createDataFrame([(1, text, 9)], "id int, text string, n_expected int")
+        assert responses.parsed(df).first()["items"] == items
+
+
+def test_rules_by_default(spark):
+    said = {
+        "She has a rash": ("unknown", 0, 0, "unknown", 2, "unknown", "unknown"), "a 59 year-old Man, fitzpatrick type 4; lifelong, over years": ("45_59", 1, 4, "years", 0, "unknown", "unknown"),
+        "likely acute eczema, many spots": ("unknown", 2, 0, "acute", 2, "suspected", "multiple"), "dark brown, clinically diagnosed": ("unknown", 2, 4, "unknown", 2, "clinical", "unknown"),
+        None: ("unknown", 2, 0, "unknown", 2, "unknown", "unknown"), "éhe": ("unknown", 2, 0, "unknown", 2, "unknown", "unknown"),
+    }
+    df = spark.createDataFrame([(k,) for k in said], "text string")
+    got = {r["text"]: tuple(r[c] for c in ("age_group", "sex", "fitzpatrick_skin_type", "duration_bucket", "onset_sudden", "diagnosis_confidence", "lesion_count")) for r in extract.facts(df, "text", ["text"]).collect()}
+    assert got == said
+
+
+def test_scales(spark):
+    raw = [("demographics_skin_type", "fair"), ("demographics_skin_type", "fst2"), ("demographics_skin_type", "pinkish"), ("c", "other"), ("c", "x"), ("severity", "awful"), ("severity", "mild")]
+    rows = lambda data: sorted((r["category"], r["value"]) for r in vocabulary.enforced(spark.createDataFrame([(*r, 0) for r in data], "category string, value string, position int")).collect())
+    assert rows(raw) == [("c", "x"), ("demographics_skin_type", "fst2"), ("severity", "mild")]
+    assert rows([raw[0], raw[2]]) == [("demographics_skin_type", "fair")] and rows([]) == []
