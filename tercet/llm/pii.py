@@ -3,7 +3,8 @@
 Values that pass their kind's validation are replaced by others of the same format: digits stay
 digits, a letter stays a letter of its case, separators stay, a card number still passes its checksum and a date
 is still a date. A value's pseudonym depends on the key and the value only, so equal values have equal
-pseudonyms in all documents, whatever task meets them, and no table of them is kept or shuffled.
+pseudonyms in all documents, whatever task meets them, and no table of them is kept or shuffled. Who has the key
+can turn them back, so there is no key by default.
 
 A value is a number x below N, the count of its format's values. A balanced Feistel network over the least even
 number of bits that hold N, walked until it falls below N again, is a keyed permutation E of them. The pseudonym is
@@ -11,7 +12,7 @@ E(E'(x) + 1 mod N), E' being the inverse: this too is a keyed permutation, and i
 not every number of the format is valid, it is applied again until the outcome is.
 
 Kinds: e-mail addresses, international and North American telephone numbers, payment cards (Luhn), IBANs (mod 97), social security numbers,
-IPv4 and IPv6 addresses, dates (ISO and day/month/year in either order), access keys, and what is assigned to a password, secret, token or key.
+IPv4 and IPv6 addresses, dates (ISO and day/month/year in either order), access keys, JSON web tokens, and what is assigned to a password, secret, token or key.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
-KINDS = ("secret", "access", "email", "iban", "ipv6", "ip", "date", "ssn", "phone", "card")
-KEY = b"tercet"
+KINDS = ("secret", "access", "jwt", "email", "iban", "ipv6", "ip", "date", "ssn", "phone", "card")
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+#: Letters beyond ASCII are permuted among themselves.
+LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 #: Dates are permuted among the days of these years.
 YEARS = (1900, 2099)
 
@@ -38,7 +40,8 @@ _DATE = r"(?P<date>(?<![\d./-])(?:(?:19|20)\d\d(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2
 FOUND = re.compile(
     r"(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\W{0,3}?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[^\s\"']{7,}[A-Za-z0-9+/_-]))"
     r"|(?P<access>(?<![A-Za-z0-9])(?i:AKIA|ASIA)[A-Za-z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})"
+    r"|(?P<jwt>(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){1,2}(?![A-Za-z0-9_-]))"
+    r"|(?P<email>(?<![\w.+\u0080-\uffff-])[\w.+\u00a1-\uffff-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Za-z]{2}\d\d(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,37}::)[0-9A-Fa-f:]{3,39})(?![\w:]))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
@@ -53,7 +56,7 @@ GAP = 80
 #: Characters of a secret that are permuted at once.
 PIECE = 128
 #: A text with one of these may hold a secret.
-KEYWORDS = ("passw", "pwd", "secret", "token", "key", "akia", "asia")
+KEYWORDS = ("passw", "pwd", "secret", "token", "key", "akia", "asia", "eyj")
 
 
 class Feistel:
@@ -106,7 +109,7 @@ def iban(text: str) -> bool:
 class Pseudonyms:
     """The pseudonyms under a key. With `back`, the originals of pseudonyms."""
 
-    def __init__(self, key: bytes = KEY, back: bool = False) -> None:
+    def __init__(self, key: bytes, back: bool = False) -> None:
         self.key, self.back = key, back
         self.networks: dict[tuple[str, int], Feistel] = {}
         self.known: dict[tuple[str, str], str] = {}
@@ -120,13 +123,13 @@ class Pseudonyms:
         return f.original(x) if self.back else f.pseudonym(x)
 
     def characters(self, kind: str, text: str, hexadecimal: bool = False, valid: Callable[[str], bool] = lambda _: True) -> str:
-        """text with its ASCII letters and digits permuted, in their places and cases."""
-        places = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
-        sets = [HEX if hexadecimal else DIGITS if text[i].isdigit() else LETTERS for i in places]
+        """text with its letters and digits permuted, in their places and cases."""
+        places = [i for i, c in enumerate(text) if c.isascii() and c.isalnum() or c.lower() in LATIN]
+        sets = [HEX if hexadecimal else DIGITS if text[i] in DIGITS else LETTERS if text[i].isascii() else LATIN for i in places]
         x, n = 0, 1
         for i, own in zip(places, sets):
             x, n = x * len(own) + own.index(text[i].lower()), n * len(own)
-        pattern = "".join("h" if hexadecimal else "d" if s is DIGITS else "a" for s in sets)
+        pattern = "".join("h" if hexadecimal else "d" if s is DIGITS else "a" if s is LETTERS else "l" for s in sets)
         while True:
             x = self.permuted(f"{kind}|{pattern}", x, n)
             out, y = list(text), x
@@ -147,15 +150,21 @@ class Pseudonyms:
         if not any(c.isascii() and c.isalnum() for c in text):
             return None
         hexadecimal = bool(re.fullmatch(r"(?:[0-9a-f]{8,}|[0-9A-F]{8,})", text))
-        # A network's rounds reach 512 bits: longer values are permuted by pieces.
-        return "".join(self.characters(f"secret{i or ''}", text[i : i + PIECE], hexadecimal=hexadecimal) for i in range(0, len(text), PIECE))
+        return self.by_pieces("secret", text, hexadecimal)
+
+    def by_pieces(self, kind: str, text: str, hexadecimal: bool = False) -> str:
+        """A network's rounds reach 512 bits: longer values are permuted by pieces."""
+        return "".join(self.characters(f"{kind}{i or ''}", text[i : i + PIECE], hexadecimal=hexadecimal) for i in range(0, len(text), PIECE))
+
+    def jwt(self, text: str) -> str:
+        return text[:3] + self.by_pieces("jwt", text[3:])
 
     def access(self, text: str) -> str:
         return text[:4] + self.characters("access", text[4:])
 
     def email(self, text: str) -> str:
         local, _, host = text.partition("@")
-        if not any(c.isascii() and c.isalnum() for c in local):
+        if not any(c.isascii() and c.isalnum() or c.lower() in LATIN for c in local):
             return f"{local}@{self.characters('email', host)}"
         return f"{self.characters('email@' + host.lower(), local)}@{host}"
 
@@ -277,7 +286,7 @@ class Pseudonyms:
             yield start, end
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = KEY, back: bool = False, column: str = "text", count: str = "n_replaced") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: bytes, back: bool = False, column: str = "text", count: str = "n_replaced") -> DataFrame:
     """docs with pseudonyms in `column`, and the column `count` of values replaced (one of that name is replaced).
 
     Every row stays. A null text stays null and an empty one empty, with a count of 0; ids, other columns and repeated rows
@@ -300,6 +309,6 @@ def pseudonymise(docs: DataFrame, *, key: bytes = KEY, back: bool = False, colum
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(count, T.LongType())]))
 
 
-def pseudonymised(docs: DataFrame) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_replaced) for each row of docs."""
-    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key=key)
