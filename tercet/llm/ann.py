@@ -10,7 +10,7 @@
    16 bits, is summed over the codes, two codes at a time. The cell's best `rerank` times k are ranked again with exact inner products, and a query's cells are merged.
    A cell of more than `block` vectors is scanned block by block, so that a hot one is spread over tasks.
 
-Every vector is a query. Only the sample that trains centroids and codebooks and the sample that measures are bounded; they are parameters.
+The queries are the vectors whose id is divisible by `every`; all vectors are searched. Only the sample that trains centroids and codebooks and the sample that measures are bounded; they are parameters.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_buffer, least_hashed, reduce_partitions, written
+from .common import as_buffer, least_hashed, reduce_partitions, sized, written
 
 SCHEMA = "vec_id long, neighbour_id long, rank int, score double"
 
@@ -197,7 +197,7 @@ def index_of(vectors: DataFrame, k: int, *, sample: int = 20_000, probes: int =
     return Index(centres, book, int(needed[min(len(needed) - 1, int(np.ceil(aim * len(needed))))]))
 
 
-def _neighbours(vectors: DataFrame, k: int, rerank: int, block: int, options: dict) -> DataFrame:
+def _neighbours(vectors: DataFrame, k: int, every: int, rerank: int, block: int, options: dict) -> DataFrame:
     spark = vectors.sparkSession
     vectors = written(vectors)
     first = vectors.select("v").first()
@@ -217,6 +217,8 @@ def _neighbours(vectors: DataFrame, k: int, rerank: int, block: int, options: di
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), d)
             yield pa.RecordBatch.from_arrays([pa.array(nearest(x, index.centres), pa.int32()), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), packed(x)], ["cell", "kind", "vec_id", "v"])
+            asked = ids % every == 0
+            ids, x = ids[asked], x[asked]
             for a in range(0, len(ids), 1024):
                 own = x[a : a + 1024]
                 scores = own @ index.centres.T
@@ -228,7 +230,7 @@ def _neighbours(vectors: DataFrame, k: int, rerank: int, block: int, options: di
     # A cell's vectors are cut in blocks by hash; its queries go to each of them.
     sizes = written(rows.where("kind = 0").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     part = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = rows.join(F.broadcast(sizes), "cell").select("cell", F.explode(part).alias("part"), "kind", "vec_id", "v")  # a row a cell: no more than there are centroids
+    placed = rows.join(sized(sizes, 16), "cell").select("cell", F.explode(part).alias("part"), "kind", "vec_id", "v")  # a row a cell: no more than there are centroids
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -275,8 +277,8 @@ def _neighbours(vectors: DataFrame, k: int, rerank: int, block: int, options: di
     return best.select("vec_id", F.posexplode("best").alias("place", "b")).select("vec_id", F.col("b.neighbour_id").alias("neighbour_id"), (F.col("place") + 1).cast("int").alias("rank"), (-F.col("b.minus")).alias("score"))
 
 
-def neighbours(table: DataFrame, k: int = 10, *, rerank: int = 8, block: int = 8192, **options: float) -> DataFrame:
-    """(vec_id, neighbour_id, rank, score): for each vector the k others of greatest inner product, ranks from 1.
+def neighbours(table: DataFrame, k: int = 10, *, every: int = 100, rerank: int = 8, block: int = 8192, **options: float) -> DataFrame:
+    """(vec_id, neighbour_id, rank, score): for each vector whose id is divisible by `every` the k others of greatest inner product, ranks from 1.
 
     Rows with a null id, a null or empty vector, or a coordinate that is null or not finite are left out. Of rows that repeat a vec_id one counts, that of least vector. Vectors of
     several lengths are searched length by length. Of equal scores the lesser id comes first. Equal vectors of different ids are
@@ -284,7 +286,7 @@ def neighbours(table: DataFrame, k: int = 10, *, rerank: int = 8, block: int = 8
     """
     vectors = vectors_of(table)
     sizes = [r[0] for r in vectors.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
-    found = [_neighbours(vectors.where(F.size("v") == d), k, rerank, block, options) for d in sizes]
+    found = [_neighbours(vectors.where(F.size("v") == d), k, every, rerank, block, options) for d in sizes]
     out = found[0] if found else table.sparkSession.createDataFrame([], SCHEMA)
     for f in found[1:]:
         out = out.unionByName(f)

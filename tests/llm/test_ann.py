@@ -16,7 +16,7 @@ def table(spark, x):
 def test_recall_against_brute_force(spark):
     x = vectors(3000)
     got = {}
-    for r in neighbours(table(spark, x), 10, block=500).collect():
+    for r in neighbours(table(spark, x), 10, every=1, block=500).collect():
         got.setdefault(r["vec_id"], {})[r["rank"]] = (r["neighbour_id"], r["score"])
     scores = x.astype(float) @ x.T.astype(float)
     np.fill_diagonal(scores, -np.inf)
@@ -58,7 +58,17 @@ def test_odd_rows(spark):
     rows = [(None, [1.0, 0.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 0.0]), (9, [1.0, 1.0, 1.0]), (10, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as v", "1 as cell", "2 as rank")
     got = {}
-    for r in neighbours(df, 2).collect():
+    for r in neighbours(df, 2, every=1).collect():
         got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"], r["score"]))
     assert {k: sorted(v) for k, v in got.items()} == {5: [(1, 6, 1.0), (2, 7, 0.0)], 6: [(1, 5, 1.0), (2, 7, 0.0)], 7: [(1, 5, 0.0), (2, 6, 0.0)], 8: [(1, 5, 0.0), (2, 6, 0.0)]}
     assert neighbours(df.where("false")).count() == 0 and neighbours(df.where("vec_id = 9")).count() == 0
+
+
+def test_queries_are_every_hundredth(spark):
+    x = vectors(1200, seed=4)
+    got = neighbours(table(spark, x), 10).collect()
+    scores = x[::100].astype(float) @ x.T.astype(float)
+    scores[np.arange(12), np.arange(12) * 100] = -np.inf
+    truth = np.argsort(-scores, axis=1)[:, :10]
+    assert sorted({r["vec_id"] for r in got}) == list(range(0, 1200, 100)) and len(got) == 120
+    assert np.mean([r["neighbour_id"] in truth[r["vec_id"] // 100] for r in got]) > 0.9

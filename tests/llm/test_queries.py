@@ -19,9 +19,9 @@ def test_every_row_is_there(spark, name, table):
     assert queries.queries()[name](spark, DIR).count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
 
 
-def test_every_vector_is_a_query(spark):
+def test_every_hundredth_vector_is_a_query(spark):
     got = queries.queries()["op5_nearest_neighbours"](spark, DIR)
-    assert got.select("vec_id").distinct().count() == spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+    assert {r[0] for r in got.select("vec_id").distinct().collect()} == {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
 
 
 def test_pipeline_runs(spark):
