@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and all runs on one machine. On a cluster it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tercet-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: The tables that written() made and that are still there.
+_PATHS: list[tuple[SparkSession, str]] = []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,16 +44,36 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _delete_all() -> None:
+    while _PATHS:
+        _delete(*_PATHS.pop())
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs
-    only the tasks that it was running. The table goes when the driver's process ends."""
+    only the tasks that it was running. The table goes when the driver's process ends, or before by alone()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tercet-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    _PATHS.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame], before: int = 0) -> DataFrame:
+    """written(make()); then what was written on the way to it is deleted, from the table number `before` on."""
+    out = written(make())
+    *gone, own = _PATHS[before:]
+    _PATHS[before:] = [own]
+    for x in gone:
+        _delete(*x)
+    return out
+
+
+def tables_written() -> int:
+    return len(_PATHS)
+
+
 #: What is broadcast has this many bytes at most.
 BROADCAST_BYTES = 32 << 20
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,7 +49,10 @@ SCALE = 10_000
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    depth: int
+    #: How many of the elements around it are around the block before it too.
+    common: int
+    parent: int
     tag: str
     linked: int
     good: bool
@@ -63,16 +66,24 @@ def blocks_of(page: str | None) -> tuple[str, list[Block]]:
     title, out = "", []
     stack: list[tuple[str, int, bool, bool, bool]] = []  # (tag, id, in good, in bad, hinted)
     parts: list[str] = []
-    linked, in_link, serial = 0, 0, 0
+    linked, in_link, serial, common = 0, 0, 0, 0
+    opened: Counter[str] = Counter()  # of the stack's tags
+
+    def close(i: int) -> None:
+        nonlocal common
+        opened.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+        common = min(common, i)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, common
         if parts:
             lines = (" ".join(x.split()) for x in html.unescape("".join(parts)).split("\0"))
             text = "\n".join(x for x in lines if x)
             if text:
                 tag, _, good, bad, hint = stack[-1] if stack else ("", 0, False, False, False)
-                out.append(Block(text, tuple(s[1] for s in stack), tag, linked, good, bad, hint))
+                out.append(Block(text, len(stack), common, stack[-2][1] if len(stack) > 1 else 0, tag, linked, good, bad, hint))
+                common = len(stack)
         parts.clear()
         linked = 0
 
@@ -101,20 +112,20 @@ def blocks_of(page: str | None) -> tuple[str, list[Block]]:
         elif tag in BLOCKS:
             flush()
             if m["end"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if opened[tag]:  # else the whole stack would be looked through for each such tag
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             elif tag not in VOID:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES.get(tag, ()):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
+                if any(opened[c] for c in CLOSES.get(tag, ())):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in CLOSES[tag]:
+                            close(i)
+                            break
+                        if stack[i][0] in SCOPES:
+                            break
                 good, bad, hint = stack[-1][2:] if stack else (False, False, False)
                 said_class = " ".join(CLASSES.findall(m["attrs"])) if m["attrs"] else ""
                 serial += 1
+                opened[tag] += 1
                 stack.append((tag, serial, good or tag in GOOD, bad or tag in BAD and not good, hint or bool(HINTS.search(said_class))))
     said(page[at:])
     flush()
@@ -236,10 +247,8 @@ def graph_of(blocks: list[Block], model: Model) -> tuple[list[int], list[int], l
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            common = next((k for k, (u, v) in enumerate(zip(a, b.path)) if u != v), min(len(a), len(b.path)))
-            edges.append((i - 1, i, int(SCALE * model.adjacency / (1 + len(a) + len(b.path) - 2 * common))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, int(SCALE * model.adjacency / (1 + blocks[i - 1].depth + b.depth - 2 * b.common))))
+        parent = b.parent
         if parent in last:
             edges.append((last[parent], i, int(SCALE * model.proximity)))
         last[parent] = i

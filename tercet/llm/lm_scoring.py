@@ -8,7 +8,8 @@ stands before a text's first word. The model predicts a word w of the two before
 
 It is trained by noise-contrastive estimation in numpy, with the words' frequencies as noise. Each task goes once through all the text of
 its partition, from the same start; the models that result are averaged, weighted by their words, in a two-level reduction
-by blocks of parameters. A task sends a fixed number of bytes, a small part of what it reads.
+by blocks of parameters. A task sends a fixed number of bytes, a small part of what it reads. What a task reads, and so the model, follows
+the files' layout: the same files give the same scores, others of the same rows nearly the same.
 
 Scoring is exact: scores of words in contexts and the normalising sums come from batched matrix products. A pair of context words' sum is kept once it is known.
 

@@ -44,7 +44,7 @@ AROUND = 1
 #: These bytes don't occur in UTF-8 text. ANCHOR precedes each window and ends what both dictionaries have in common, so that each window
 #: is coded as a compressed block; TAIL follows it, and END a dictionary, as the compressor looks for no matches there.
 ANCHOR, TAIL, END = bytes([0xF8, 0xF9, 0xFA, 0xFB] * 4), bytes(range(1, 13)), bytes(range(0xF8, 0x100)) * 2
-TABLE_BITS = 20
+TABLE_BITS, SLOT_BITS = 20, 22
 
 
 def runs_of(data: np.ndarray) -> np.ndarray:
@@ -97,8 +97,15 @@ def _ratio(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
 def telling_runs(toxic: Sequence[np.ndarray], ordinary: Sequence[np.ndarray], least_ratio: float) -> Runs:
     """The runs that tell the toxic texts from the ordinary ones."""
     n, m = len(toxic), len(ordinary)
-    runs, counts = np.unique(np.concatenate([np.unique(runs_of(x)) for x in toxic]), return_counts=True)
-    likely = _ratio(counts, n, np.zeros(len(counts)), m) >= least_ratio
+    # Counted by slots first, so that no more is held than the runs that may tell.
+    slots = np.zeros(1 << SLOT_BITS, np.int32)
+    slot = lambda runs: ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    for x in toxic:
+        slots[np.unique(slot(runs_of(x)))] += 1
+    likely = _ratio(slots, n, np.zeros(1), m) >= least_ratio
+    own = (np.unique(runs_of(x)) for x in toxic)
+    runs, counts = np.unique(np.concatenate([r[likely[slot(r)]] for r in own]), return_counts=True)
+    likely = _ratio(counts, n, np.zeros(1), m) >= least_ratio
     both, counts = Runs(runs[likely]), counts[likely]
     other = np.zeros(len(counts))
     for x in ordinary:
@@ -291,7 +298,7 @@ def fit(rows: list[tuple[str, str | None, bool]], weights: tuple[float, float] =
     return model
 
 
-def model_of(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, sample_bytes: int = 64 << 20, **options: float) -> ToxicityModel:
+def model_of(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, sample_bytes: int = 32 << 20, **options: float) -> ToxicityModel:
     """The model of at most `sample` labelled documents of `sample_bytes` in all; rows without id, label or text don't count,
     and a doc_id labelled twice is toxic if one label says so. Empty tables give a model by which nothing is toxic."""
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).dropna().groupBy("__id").agg(F.max(F.col("__toxic").cast("int")).alias("__toxic"))
@@ -306,7 +313,8 @@ def model_of(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, sample
     rows = kept.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)) if part < 1 else F.lit(True)).collect()
     rows.sort(key=lambda r: (hash((r["doc_id"], 7)), r["text"], r["lang"] or ""))
     weights = tuple(max(counts.get(kind, 0), 1) / max(min(counts.get(kind, 0), most[kind]), 1) for kind in (False, True))
-    return fit([(r["text"], r["lang"], bool(r["__toxic"])) for r in rows], weights, **options)
+    rows = [(r["text"], r["lang"], bool(r["__toxic"])) for r in rows]
+    return fit(rows, weights, **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

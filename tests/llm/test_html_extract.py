@@ -1,3 +1,4 @@
+import time
 import itertools
 import random
 
@@ -56,6 +57,23 @@ def test_malformed_markup():
         blocks_of(text)
 
 
+def test_deep_pages():
+    """Memory and time in proportion to the page, whatever its depth."""
+    for text in ("<div>x" * 40_000, "<div>x" * 20_000 + "</div>y" * 20_000, "<p>x</li>" * 40_000, "<section><p>x" * 20_000):
+        began = time.process_time()
+        blocks = blocks_of(text)[1]
+        graph_of(blocks, Model())
+        assert len(blocks) >= 20_000 and time.process_time() - began < 20
+
+
+def test_distances_are_those_of_the_tree():
+    _, blocks = blocks_of("<div>a<section>b<p>c</section><section>d</section></div>e<ul><li>f<li>g</ul>")
+    paths = [(1,), (1, 2), (1, 2, 3), (1, 4), (), (5, 6), (5, 7)]
+    assert [b.text for b in blocks] == list("abcdefg") and [b.depth for b in blocks] == [len(p) for p in paths]
+    for p, q, b in zip(paths, paths[1:], blocks[1:]):
+        assert b.common == sum(1 for k in range(min(len(p), len(q))) if p[: k + 1] == q[: k + 1])
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>some long text, with words.</p>" * 3000 + "</article>"
     rows = [(None, None, None), (1, "u", ""), (2, None, "<p></p>"), (3, "u", page(1)), (3, "u", page(1)), (4, "u", long), (5, "u", "plain text only")]
