@@ -85,3 +85,7 @@ def without_thoughts(c: Column | str) -> Column:
 def numbered(texts: Column | str) -> Column:
     """A prompt: each text behind its number, from 1, with blank lines between."""
     return F.concat_ws("\n\n", F.transform(col(texts), lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t)))
+
+
+def truncated(c: Column | str, most: int = 500) -> Column:
+    return F.substring(col(c), 1, most)

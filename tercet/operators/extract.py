@@ -122,26 +122,49 @@ def facts(df: DataFrame, text: str, keep: Sequence[str], lexicon: Mapping[str, S
 Extractor = Callable[[list[str]], list[dict[str, list[str]]]]
 
 
+class Truncated(Exception):
+    """An extractor raises it when its answer broke off; `said` is what it had of it."""
+
+    def __init__(self, said: Sequence[dict[str, list[str]]] = ()) -> None:
+        super().__init__("the answer broke off")
+        self.said = list(said)
+
+
+def extracted(texts: list[str], extractor: Extractor, retries: int = 2, depth: int = 0, deepest: int = 4) -> list[dict[str, list[str]] | None]:
+    """What the extractor says of each text, or None. A call that fails or says too little is repeated, but not when it breaks off at the same length again; if it
+    broke off, both halves are asked for by themselves, down to `deepest` halvings; of what was said the longest part is kept."""
+    best: list[dict[str, list[str]]] = []
+    short, broke = -1, False
+    for _ in range(retries + 1):
+        try:
+            said, broke = list(extractor(texts)), False
+        except Truncated as e:
+            said, broke = e.said, True
+        except Exception:  # of the extractor's own, whatever it is; it is told by the status
+            continue
+        if len(said) >= len(texts):
+            return said[: len(texts)]
+        best = max(best, said, key=len)
+        if short == len(said):
+            break
+        short = len(said)
+    if broke and len(texts) > 1 and depth < deepest:
+        half = len(texts) // 2
+        parts = [extracted(some, extractor, min(retries, 1), depth + 1, deepest) for some in (texts[:half], texts[half:])]
+        return [p if p is not None else (best[i] if i < len(best) else None) for i, p in enumerate(parts[0] + parts[1])]
+    return [*best, *[None] * (len(texts) - len(best))]
+
+
 def with_extractor(texts: DataFrame, extractor: Extractor, size: int = 10, retries: int = 2) -> DataFrame:
-    """texts: (text). (text, category, value, status) from any extractor, a model for instance: it is called in the workers, for `size` texts at a time; a call
-    that fails is repeated `retries` times, and then its texts' status is 'failed' and they have no values."""
+    """texts: (text). (text, category, value, status) from any extractor, a model for instance: it is called in the workers, for `size` texts at a time, as
+    extracted() does; texts without an answer have the status 'failed' and no values, those of which nothing is said 'empty'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_pylist()
             rows: list[tuple] = []
             for i in range(0, len(own), size):
-                some = own[i : i + size]
-                said: list[dict[str, list[str]]] | None = None
-                for _ in range(retries + 1):
-                    try:
-                        said = extractor(some)
-                    except Exception:  # of the extractor's own, whatever it is; it is told by the status
-                        continue
-                    if len(said) == len(some):
-                        break
-                for k, t in enumerate(some):
-                    got = said[k] if said and k < len(said) else None
+                for t, got in zip(own[i : i + size], extracted(own[i : i + size], extractor, retries)):
                     values = [(t, c, v, "ok") for c, vs in (got or {}).items() for v in vs]
                     rows += values or [(t, None, None, "failed" if got is None else "empty")]
             if rows:

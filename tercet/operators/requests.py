@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import numbered
 
@@ -36,26 +40,63 @@ def chunks(jobs: DataFrame, stream: str, order: str, *, most_jobs: int, most_byt
     """jobs: (stream, order, bytes, tokens). Each job with `chunk`, from 0 within its stream: jobs go in order to the open chunk; one that would make it too many, too
     long or too dear opens the next. A job too dear by itself has a chunk of its own; one of more bytes than a chunk may have is an error.
 
-    The fold runs within a stream, over its jobs' sizes alone."""
+    Where a chunk begins hangs on where the last one ended, so a stream's sizes pass through one task in order, batch by batch; what it holds is the open chunk's sums."""
     jobs_cap = max(1, min(most_jobs, 50_000))
-    wide = jobs.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(order, "bytes", "tokens"))).alias("__jobs"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("tokens"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, job: Column) -> Column:
-        full = (acc["n"] >= jobs_cap) | (acc["bytes"] + job["bytes"] > most_bytes)
-        if most_tokens is not None:
-            full = full | (acc["tokens"] + job["tokens"] > most_tokens)
-        new = (acc["n"] > 0) & full
-        c = acc["chunk"] + new.cast("int")
-        fit = F.when(job["bytes"] > most_bytes, F.raise_error(F.lit("a job has more bytes than a chunk may have"))).otherwise(c)
-        return F.struct(
-            c.alias("chunk"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, job["bytes"]).otherwise(acc["bytes"] + job["bytes"]).alias("bytes"),
-            F.when(new, job["tokens"]).otherwise(acc["tokens"] + job["tokens"]).alias("tokens"), F.concat(acc["out"], F.array(fit.cast("int"))).alias("out"),
-        )
-
-    folded = wide.select(stream, "__jobs", F.aggregate("__jobs", zero, step)["out"].alias("__chunks"))
-    out = folded.select(stream, F.inline(F.arrays_zip(F.col("__jobs").alias("job"), F.col("__chunks").alias("chunk"))))
-    return out.select(stream, F.col(f"job.{order}").alias(order), "job.bytes", "job.tokens", "chunk")
+    rows = jobs.select(stream, order, F.col("bytes").cast("long").alias("bytes"), F.col("tokens").cast("long").alias("tokens"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, chunk, n, size, spent = None, 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            for name, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if b > most_bytes:
+                    raise ValueError(f"a job of {b} bytes has more bytes than a chunk may have")
+                if (name,) != last:
+                    last, chunk, n, size, spent = (name,), 0, 0, 0, 0
+                if n and (n >= jobs_cap or size + b > most_bytes or (most_tokens is not None and spent + t > most_tokens)):
+                    chunk, n, size, spent = chunk + 1, 0, 0, 0
+                n, size, spent = n + 1, size + b, spent + t
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "chunk"])
+
+    return rows.repartition(stream).sortWithinPartitions(stream, order).mapInArrow(fold, schema)
+
+
+def counted(texts: Column | str) -> Column:
+    """A prompt that says how many texts there are, before and behind them, and which one is the last."""
+    own = F.col(texts) if isinstance(texts, str) else texts
+    n = F.size(own).cast("string")
+    items = F.transform(own, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.when(i + 1 == F.size(own), F.lit(", LAST] ")).otherwise(F.lit("] ")), t))
+    return F.concat(F.lit("Texts: "), n, F.lit("\n\n"), F.concat_ws("\n\n", items), F.lit("\n\nAnswer with exactly "), n, F.lit(" items, one for each text."))
+
+
+def tagged(texts: Column | str, tags: Column | str) -> Column:
+    """A prompt of texts with their tags; tags: a list of lists."""
+    own, said = (F.col(c) if isinstance(c, str) else c for c in (texts, tags))
+    line = lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t, F.lit("\ntags: "), F.coalesce(F.nullif(F.concat_ws(", ", F.get(said, i)), F.lit("")), F.lit("(empty)")))
+    return F.concat_ws("\n\n", F.transform(own, line))
+
+
+def flattened(messages: DataFrame, by: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
+    """(by, prompt): a conversation's messages in order as one text, for models that take no messages. A null text is empty."""
+    line = F.concat(F.coalesce(F.col(role), F.lit("user")), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"])
+    return messages.groupBy(by).agg(F.concat_ws("\n", lines).alias("prompt"))
+
+
+def answer_schema(categories: Mapping[str, Sequence[str]], n: int) -> tuple[str, dict]:
+    """The JSON schema of an answer of n items, each with a list of a category's own values for every category, and its name, which follows the content."""
+    item = {"type": "object", "additionalProperties": False, "required": sorted(categories), "properties": {c: {"type": "array", "items": {"type": "string", "enum": sorted(set(vs))}} for c, vs in sorted(categories.items())}}
+    schema = {"type": "object", "additionalProperties": False, "required": ["captions"], "properties": {"captions": {"type": "array", "minItems": n, "maxItems": n, "items": item}}}
+    digest = hashlib.sha1(json.dumps(schema, sort_keys=True).encode()).hexdigest()[:10]
+    return f"answer_{digest}", schema
+
+
+def context_room(prompt_tokens: Column, window: int, most: int, margin: int = 32, least: int = 64) -> Column:
+    """How long an answer may be beside a prompt; an error where hardly any room is left."""
+    room = F.lit(window) - prompt_tokens - margin
+    return F.when(room < least, F.raise_error(F.lit("the prompt leaves no room for an answer"))).otherwise(F.least(room, F.lit(most))).cast("long")
 
 
 def cost(usage: DataFrame, prices: Mapping[str, tuple[float, float, float]] = PRICES, cached: float = 0.8) -> DataFrame:

@@ -81,3 +81,14 @@ def category_values(answered: DataFrame, key: str) -> DataFrame:
     pairs = rows.select(key, "place", F.explode(F.from_json("item", "map<string,string>")).alias("category", "raw"))
     values = F.coalesce(F.from_json("raw", "array<string>"), F.when(F.col("raw").isNotNull() & ~F.startswith("raw", F.lit("{")), F.array("raw")))
     return pairs.select(key, "place", "category", F.explode(values).alias("value")).where("value is not null")
+
+
+def repaired(items: Column, n: Column, fallback: Column) -> Column:
+    """A list of exactly n items: what is too much goes, what lacks is the fallback. A null list has none."""
+    own = F.slice(F.coalesce(items, F.array().cast("array<string>")), F.lit(1), F.greatest(n, F.lit(0)))
+    return F.concat(own, F.array_repeat(fallback, F.greatest(n - F.size(own), F.lit(0))))
+
+
+def message_text(content: Column, reasoning: Column) -> Column:
+    """What a model says: its content, or where that is blank what it reasons."""
+    return F.when(F.coalesce(F.trim(content), F.lit("")) != "", content).otherwise(F.coalesce(reasoning, F.lit("")))

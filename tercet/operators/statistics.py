@@ -272,3 +272,32 @@ def coverage_report(covered: DataFrame, mapping: Mapping[str, str], categories:
     own = spark.createDataFrame(list(categories.items()), "feature string, category string")
     joined = covered.join(F.broadcast(own), "feature", "left").join(F.broadcast(columns), "feature", "left")
     return joined.select("feature", F.coalesce("category", F.split_part("feature", F.lit("_"), F.lit(1))).alias("category"), F.col("comparison_column").isNotNull().alias("has_equivalent"), F.coalesce("comparison_column", F.lit("")).alias("comparison_column"), "informativeness", "pct_present")
+
+
+def extremes(rows: DataFrame, measure: str, key: str, k: int = 20) -> DataFrame:
+    """(side, rank, key, measure): the k greatest and the k least; ties go by the key."""
+    pick = lambda side, *order: rows.orderBy(*order, key).limit(k).select(F.lit(side).alias("side"), key, measure).withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(*order, key)))
+    return pick("top", F.desc(measure)).unionByName(pick("bottom", F.asc(measure)))
+
+
+def without_counterpart(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """Rows of features that the other data set doesn't have. mapping: feature to column."""
+    return rows.where(~F.col("feature").isin(list(mapping)))
+
+
+def telling_but_uncompared(context: DataFrame, least: float = 0.01, k: int = 10) -> DataFrame:
+    """Of features that aren't compared, with mutual information above `least`, those of least p-value."""
+    return context.where((F.col("mutual_information") > least) & ~F.col("is_compared")).orderBy("chi2_pvalue", "feature").limit(k)
+
+
+def report(context: DataFrame, label: str, k: int = 15) -> str:
+    """A short summary in Markdown: the features of most mutual information, and those that tell much but have no counterpart."""
+
+    def block(df: DataFrame, columns: Sequence[str]) -> list[str]:
+        rows = [tuple("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) for r in df.select(*columns).collect()]
+        return ["| " + " | ".join(r) + " |" for r in [tuple(columns), tuple("---" for _ in columns), *rows]] if rows else ["None."]
+
+    top = context.orderBy(F.desc("mutual_information"), "feature").limit(k)
+    lines = ["# What tells labels apart", "", f"Label: `{label}`", "", f"## The {k} features of most mutual information", "", *block(top, ("feature", "mutual_information", "cramers_v", "is_compared"))]
+    rest = block(telling_but_uncompared(context), ("feature", "mutual_information", "cramers_v", "chi2_pvalue"))
+    return "\n".join([*lines, "", "## Telling features without a counterpart", "", *rest, ""])

@@ -111,3 +111,13 @@ def all_unknown(wide: DataFrame, features: Sequence[str], text: str, least: int
     """(reason, rows) of the rows whose every feature is unknown: of those with `least` characters or more something was missed."""
     silent = wide.where(F.forall(F.array(*features), lambda v: v == 2))
     return silent.groupBy(F.when(F.char_length(strip(text)) >= least, "silent_empty").otherwise("short_text").alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def coerced(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features of any type as whole states; what isn't a number is unknown."""
+    return df.withColumns({f: F.coalesce(F.col(f).try_cast("double").try_cast("int"), F.lit(2)) for f in features})
+
+
+def lanes(features: DataFrame) -> DataFrame:
+    """features: (.., by_rule). With `lane`: whether rules or a model find it; without a word a model does."""
+    return features.withColumn("lane", F.when(F.coalesce(F.col("by_rule"), F.lit(False)), "rule").otherwise("model"))

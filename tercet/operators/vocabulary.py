@@ -73,3 +73,15 @@ def schema_document(vocabulary: DataFrame, compared: Sequence[str] = ()) -> Data
     name = feature_name("category", "value")
     own = vocabulary.groupBy("category").agg(F.array_sort(F.collect_set("value")).alias("features"), F.array_sort(F.collect_set(F.when(name.isin(list(compared)), F.col("value")))).alias("comparable_features"))
     return own.select("category", F.size("features").cast("long").alias("n_features"), F.to_json(F.struct("category", "features", "comparable_features")).alias("document"))
+
+
+def merged_records(records: DataFrame, keys: Sequence[str], lists: Mapping[str, int | None]) -> DataFrame:
+    """A row for each combination of keys, with the distinct values of each column of `lists` in order, the first so many of them (None: all)."""
+    out = None
+    for column, most in lists.items():
+        own = records.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+        if most is not None:
+            own = own.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(column))).where(F.col("__r") <= most)
+        own = own.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(column))
+        out = own if out is None else out.join(own, list(keys), "full_outer")
+    return out

@@ -469,6 +469,81 @@ def merged_questionnaire(spark, d):
     return q.select("doc_id", a.alias("quality"), b.alias("toxic"), tristate.either(a, b).alias("either"))
 
 
+@query
+def dry_run_calls(spark, d):
+    return captions.calls(table(spark, d, "documents"), "source", "text", 10, ["src0", "src3"])
+
+
+@query
+def full_mode_rows(spark, d):
+    rows = captions.sampled(table(spark, d, "documents").select("doc_id", "lang", "source"), "full", "lang", "source", "doc_id")
+    return rows.groupBy("lang").agg(F.count("*").alias("n_rows"), F.ceil(F.count("*") / 25).alias("n_batches"))
+
+
+@query
+def counted_prompts(spark, d):
+    said = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
+    return said.groupBy("conv_id").agg(texts.alias("texts")).select("conv_id", F.md5(requests.counted("texts")).alias("digest"))
+
+
+@query
+def tagged_prompts(spark, d):
+    said = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, F.array(F.lit("t"), F.col("role"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    own = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "tags"))).alias("x"))
+    return own.select("conv_id", F.md5(requests.tagged(F.col("x.text"), F.col("x.tags"))).alias("digest"))
+
+
+@query
+def flattened_conversations(spark, d):
+    return requests.flattened(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", F.md5("prompt").alias("digest"))
+
+
+@query
+def repaired_answers(spark, d):
+    rows = _answers(spark, d)
+    fixed = responses.repaired(F.col("items"), F.col("n_expected"), F.lit("{}"))
+    return rows.select("id", F.size(fixed).alias("n_repaired"), F.size(F.filter(fixed, lambda x: x == "{}")).alias("n_empty"))
+
+
+@query
+def coerced_states(spark, d):
+    said = F.when(F.col("o_custkey") % 5 == 0, F.lit("x")).when(F.col("o_custkey") % 5 == 1, F.lit("1.0")).when(F.col("o_custkey") % 5 == 2, F.lit("0")).when(F.col("o_custkey") % 5 == 3, F.lit(" 1 "))
+    return tristate.coerced(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), said.alias("f")), ["f"])
+
+
+@query
+def feature_lanes(spark, d):
+    parts = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg((F.min("p_size") < 3).alias("small"), (F.max("p_size") > 48).alias("large"))
+    return tristate.lanes(parts.select("name", F.when(F.col("large"), F.col("small")).alias("by_rule"))).select("name", "lane")
+
+
+@query
+def truncated_captions(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.truncated("text", 500)).alias("digest"), F.char_length(X.truncated("text", 500)).alias("n_chars"))
+
+
+@query
+def features_without_counterpart(spark, d):
+    return statistics.without_counterpart(statistics.coverage(fixtures.documents(spark, d), FEATURES), MAPPING)
+
+
+@query
+def coverage_extremes(spark, d):
+    return statistics.extremes(statistics.coverage(fixtures.documents(spark, d), FEATURES), "informativeness", "feature", 5)
+
+
+@query
+def first_features(spark, d):
+    return statistics.coverage(fixtures.documents(spark, d), FEATURES[:10]).select("feature", "n_present", "n_absent", "n_unknown")
+
+
+@query
+def merged_records(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("category"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("value"), F.col("p_type").alias("examples"), F.col("p_name").alias("contexts"), F.concat(F.lit("size_"), F.col("p_size") % 3).alias("labels"))
+    return vocabulary.merged_records(parts, ["category", "value"], {"examples": 10, "contexts": 5, "labels": None})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

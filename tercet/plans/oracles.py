@@ -238,3 +238,24 @@ s as (select id, category, value, meant from k join said on step % {len(cases.SA
 fx as (select id, count(*) filter (where value is not null and meant is null) as fixes from s group by id)
 select id, fixes, """ + ", ".join(f"case when bool_or(meant = '{f}') then 1 when bool_or(meant like '{c}%') then 0 else 2 end::tinyint as {f}" for _, f, c, _ in _TERMS) + " from s join fx using (id) group by id, fixes",
 }
+
+ORACLES |= {
+    "dry_run_calls": f"""with u as (select source, source in ('src0', 'src3') as done, count(distinct case when source not in ('src0', 'src3') and {_TEXT} <> '' then {_TEXT} end) as n from documents where source is not null group by all)
+select count(*) as n_labels, count(*) filter (where done) as n_done, sum(n)::bigint as n_unique, sum(ceil(n / 10.0))::bigint as n_calls from u""",
+    "full_mode_rows": "select lang, count(*) as n_rows, ceil(count(*) / 25.0)::bigint as n_batches from documents where lang is not null group by lang",
+    "counted_prompts": """with t as (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn, text) as i from conversations where text is not null)
+select conv_id, md5('Texts: ' || any_value(n) || chr(10) || chr(10) || string_agg('[' || i || case when i = n then ', LAST] ' else '] ' end || text, chr(10) || chr(10) order by i) || chr(10) || chr(10) || 'Answer with exactly ' || any_value(n) || ' items, one for each text.') as digest from t group by conv_id""",
+    "tagged_prompts": """with t as (select *, row_number() over (partition by conv_id order by turn, text) as i from conversations where text is not null)
+select conv_id, md5(string_agg('[' || i || '] ' || text || chr(10) || 'tags: ' || case when turn % 2 = 0 then 't, ' || role else '(empty)' end, chr(10) || chr(10) order by i)) as digest from t group by conv_id""",
+    "flattened_conversations": "select conv_id, md5(string_agg(coalesce(role, 'user') || ': ' || coalesce(text, ''), chr(10) order by turn)) as digest from conversations group by conv_id",
+    "repaired_answers": f"with {cases.ANSWERS_SQL} select id, want::int as n_repaired, (want - least(n, want) + case when shape = 7 and not missing and want >= 2 then 1 else 0 end)::int as n_empty from p",
+    "coerced_states": "select o_orderkey as id, case o_custkey % 5 when 1 then 1 when 2 then 0 when 3 then 1 else 2 end::int as f from orders",
+    "feature_lanes": "select p_type as name, case when max(p_size) > 48 and min(p_size) < 3 then 'rule' else 'model' end as lane from part group by p_type",
+    "truncated_captions": "select doc_id, md5(text[:500]) as digest, least(length(text), 500)::int as n_chars from documents",
+    "features_without_counterpart": f"with {_DOCS}, c as ({_COVERAGE}) select * from c where feature not in ({', '.join(repr(f) for f in MAPPING)})",
+    "coverage_extremes": f"""with {_DOCS}, c as ({_COVERAGE}), r as (select feature, informativeness, row_number() over (order by informativeness desc, feature) as a, row_number() over (order by informativeness, feature) as z from c)
+select 'top' as side, feature, informativeness, a as rank from r where a <= 5 union all select 'bottom', feature, informativeness, z from r where z <= 5""",
+    "first_features": f"with {_DOCS}, c as ({_COVERAGE}) select feature, n_present, n_absent, n_unknown from c join dim using (feature) where idx < 10",
+    "merged_records": """with p as (select p_brand as category, split_part(p_name, ' ', 1) as value, p_type, p_name, 'size_' || p_size % 3 as label from part)
+select category, value, list_sort(list(distinct p_type))[:10] as examples, list_sort(list(distinct p_name))[:5] as contexts, list_sort(list(distinct label)) as labels from p group by all""",
+}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tercet.functions import text as X
-from tercet.operators import captions, extract, requests, responses, signatures, statistics, tristate, vocabulary
+from tercet.operators import captions, extract, mapping, requests, responses, signatures, statistics, tristate, vocabulary
 from tercet.sources import files
 from tercet.streaming import incremental
 
@@ -168,3 +168,58 @@ def test_scales(spark):
     rows = lambda data: sorted((r["category"], r["value"]) for r in vocabulary.enforced(spark.createDataFrame([(*r, 0) for r in data], "category string, value string, position int")).collect())
     assert rows(raw) == [("c", "x"), ("demographics_skin_type", "fst2"), ("severity", "mild")]
     assert rows([raw[0], raw[2]]) == [("demographics_skin_type", "fair")] and rows([]) == []
+
+
+def test_names_of_the_questionnaire(spark):
+    got = {r["column"]: (r["category"], r["value"]) for r in mapping.resolved(spark).collect()}
+    assert len(mapping.CANONICAL) == 46 and len(got) == 41 and len(mapping.COMPARED) == 28
+    assert set(mapping.CANONICAL) - set(got) == {"age_group", "sex_at_birth", "fitzpatrick_skin_type", "condition_duration", "related_category"}
+    assert got["body_parts_foot_top_or_side"] == ("body_location", "foot_top_side") and mapping.VALUES["age_group_18_to_29"] == ("demographics_age", "20-30")
+    assert all(f"{c}_{v}" == mapping.COMPARED[k] for k, (c, v) in got.items() if k in mapping.COMPARED)
+    vocab = spark.createDataFrame([("body_location", "arm"), ("c", "x")], "category string, value string")
+    rows = {(r["category"], r["value"]): (r["added"], r["comparable"]) for r in mapping.verified(vocab).collect()}
+    assert rows["body_location", "arm"] == (False, True) and rows["c", "x"] == (False, False) and rows["morphology_texture", "flat"] == (True, True) and len(rows) == 42
+
+
+def test_bisection():
+    asked = []
+
+    def extractor(texts):
+        asked.append(len(texts))
+        if len(texts) > 2:
+            raise extract.Truncated([{"a": [t]} for t in texts[:1]])
+        return [{"a": [t]} for t in texts]
+
+    assert extract.extracted(list("abcdefgh"), extractor) == [{"a": [t]} for t in "abcdefgh"] and asked == [8, 8, 4, 4, 2, 2, 4, 4, 2, 2]
+    assert extract.extracted(["a", "b"], lambda t: [{}]) == [{}, None] and extract.extracted(["a"], lambda t: 1 / 0) == [None]
+
+    def never(texts):
+        raise extract.Truncated
+
+    assert extract.extracted(list("abcd"), never) == [None] * 4
+
+
+def test_batches_in_ranges(spark):
+    rows = [(i * 37 % 1009 - 300, "a" if i % 3 else None) for i in range(900)] + [(None, "a"), (5000, "b")]
+    df = spark.createDataFrame(rows, "k long, l string")
+    got = {(r["k"], r["l"]): r["batch"] for r in captions.batches(df, "l", "k", 7, span=50).collect()}
+    for label in ("a", "b", None):
+        own = sorted((k for k, x in rows if x == label), key=lambda k: (k is not None, k or 0))
+        assert [got[k, label] for k in own] == [i // 7 for i in range(len(own))]
+
+
+def test_answer_schema_and_room(spark):
+    a, b = requests.answer_schema({"b": ["y", "x"], "a": ["z"]}, 3), requests.answer_schema({"a": ["z"], "b": ["x", "y"]}, 3)
+    assert a == b and a[0] != requests.answer_schema({"a": ["z"]}, 3)[0] and a[1]["properties"]["captions"]["items"]["properties"]["b"]["items"]["enum"] == ["x", "y"]
+    assert first(spark, requests.context_room(F.col("c"), 4096, 1000), 3500, "long") == 564 and first(spark, requests.context_room(F.col("c"), 4096, 1000), 10, "long") == 1000
+    with pytest.raises(Exception, match="no room"):
+        first(spark, requests.context_room(F.col("c"), 4096, 1000), 4090, "long")
+    with pytest.raises(ValueError, match="sampling mode"):
+        captions.sampled(spark.range(1), "some", "id", "id", "id")
+
+
+def test_report(spark):
+    rows = [("f", 0.5, 0.4, 0.001, False), ("g", 0.02, 0.1, 0.2, True), ("h", 0.001, 0.1, None, False)]
+    df = spark.createDataFrame(rows, "feature string, mutual_information double, cramers_v double, chi2_pvalue double, is_compared boolean")
+    text = statistics.report(df, "l")
+    assert text.index("| f | 0.5 |") < text.index("| g | 0.02 |") and text.count("| f |") == 2 and text.count("| h |") == 1
