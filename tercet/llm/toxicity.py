@@ -102,7 +102,8 @@ def telling_runs(toxic: Sequence[np.ndarray], ordinary: Sequence[np.ndarray], le
     slot = lambda runs: ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     for x in toxic:
         slots[np.unique(slot(runs_of(x)))] += 1
-    likely = _ratio(slots, n, np.zeros(1), m) >= least_ratio
+    # The ratio grows with the count.
+    likely = slots >= np.argmax(np.append(_ratio(np.arange(n + 1), n, np.zeros(1), m) >= least_ratio, True))
     own = (np.unique(runs_of(x)) for x in toxic)
     runs, counts = np.unique(np.concatenate([r[likely[slot(r)]] for r in own]), return_counts=True)
     likely = _ratio(counts, n, np.zeros(1), m) >= least_ratio
