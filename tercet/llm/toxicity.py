@@ -104,13 +104,20 @@ def telling_runs(toxic: Sequence[np.ndarray], ordinary: Sequence[np.ndarray], le
         slots[np.unique(slot(runs_of(x)))] += 1
     # The ratio grows with the count.
     likely = slots >= np.argmax(np.append(_ratio(np.arange(n + 1), n, np.zeros(1), m) >= least_ratio, True))
-    own = (np.unique(runs_of(x)) for x in toxic)
-    runs, counts = np.unique(np.concatenate([r[likely[slot(r)]] for r in own]), return_counts=True)
-    likely = _ratio(counts, n, np.zeros(1), m) >= least_ratio
-    both, counts = Runs(runs[likely]), counts[likely]
-    other = np.zeros(len(counts))
-    for x in ordinary:
-        other[np.unique(both.found(x)[1])] += 1
+    runs = np.zeros(0, np.uint64)
+    for at in range(0, n, 64):
+        some = [runs_of(x) for x in toxic[at : at + 64]]
+        runs = np.unique(np.concatenate([runs, *(r[likely[slot(r)]] for r in some)]))
+    both = Runs(runs)
+
+    def documents(texts: Sequence[np.ndarray]) -> np.ndarray:
+        """In how many of the texts each run is."""
+        counts = np.zeros(len(both.runs))
+        for x in texts:
+            counts[np.unique(both.found(x)[1])] += 1
+        return counts
+
+    counts, other = documents(toxic), documents(ordinary)
     return Runs(both.runs[(_ratio(counts, n, other, m) >= least_ratio) & (counts / n >= LIFT * other / m)])
 
 
@@ -273,7 +280,7 @@ def _dictionaries(texts: list[np.ndarray], labels: np.ndarray, *, base_size: int
 def fit(rows: list[tuple[str, str | None, bool]], weights: tuple[float, float] = (1.0, 1.0), *, slacks: Sequence[int] = (0, 1, 2), base_size: int = 1 << 16, toxic_sizes: Sequence[int] = (2048, 1024, 512), least_ratio: float = 24.0, least_toxic: int = 20, least_f1: float = 0.5) -> ToxicityModel:
     """rows: (text, lang, toxic). weights: how many rows an ordinary and a toxic one stand for. Without
     rows of both kinds that something tells apart, nothing is toxic. Of the sizes and slacks those of greatest F1 are taken."""
-    texts = [x.copy() for x in normalised(pa.array([t for t, _, _ in rows], pa.large_string()))]
+    texts = [x.copy() for i in range(0, len(rows), 256) for x in normalised(pa.array([t for t, _, _ in rows[i : i + 256]], pa.large_string()))]
     labels = np.array([bool(y) for *_, y in rows])
     langs = [x for _, x, _ in rows]
     groups: dict[str | None, np.ndarray] = {None: np.arange(len(rows))}
