@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tercet.llm.mixing import copies, duels, mixed
+from tercet.llm.mixing import copies, duels, mixed, uniforms
 
 
 def test_duels_keep_sums_and_expectations():
@@ -33,6 +33,32 @@ def test_totals_meet_targets(spark, make):
         assert r["copies"] in (int(rate), int(rate) + 1)
 
 
+def test_against_a_rounding_of_its_own(make):
+    """Each source's duels, in the order of ids, by the rule as it is written; the one that is left is settled by a draw."""
+    rows = [(i, "word " * (1 + i % 7), "en", f"s{i * i % 5}") for i in range(700)]
+    weights, budget = {"s0": 1.0, "s1": 4.0, "s4": 2.5}, 1.3
+    got = {r["doc_id"]: r["copies"] for r in copies(make(rows), weights, budget=budget, seed=17).collect()}
+    for source in {r[3] for r in rows}:
+        ids = [r[0] for r in rows if r[3] == source]
+        rate = budget * len(rows) * weights[source] / sum(weights[s] for s in {r[3] for r in rows}) / len(ids)
+        draws = dict(zip(ids, uniforms(np.array(ids), 17, 0).tolist()))
+        extra, a, p = {}, None, 0.0
+        for b in ids:
+            q = rate % 1
+            if a is None:
+                a, p = b, q
+                continue
+            if p + q <= 1:
+                winner, loser = (a, b) if draws[b] < p / (p + q) else (b, a)
+                extra[loser], a, p = 0, winner, p + q
+            else:
+                winner, loser = (a, b) if draws[b] < (1 - q) / (2 - p - q) else (b, a)
+                extra[winner], a, p = 1, loser, p + q - 1
+            if p < 1e-9 or p > 1 - 1e-9:
+                extra[a], a = round(p), None
+        assert all(got[i] == int(rate) + x for i, x in extra.items()) and len(extra) >= len(ids) - 1
+
+
 def test_a_deep_tree(spark, make, monkeypatch):
     import tercet.llm.mixing as m
 
