@@ -8,29 +8,35 @@ joined once, by one of them.
    coordinates. The overlap of two sets is at most the sum of the coordinates' minima, and a Jaccard
    similarity of t needs an overlap of t / (1 + t) times the two sizes.
 2. One R-tree over a whole corpus would prune nothing across hundreds of millions of
-   unrelated points, and no machine holds it. So points are routed by their `keys` n-grams of least
-   hash: two sets of similarity t have none of these in common with a probability of (1 - t) ** keys. Each
-   key that several classes have gets an R-tree of its own, packed by size and coordinates, and is joined with
+   unrelated points, and no machine holds it. So points are routed by keys. All n-grams have one order: by hash, those that a sample
+   shows to be in more than `hot` documents last. A set of s n-grams that has a similarity of t to another shares
+   t * s of them at least, so the least that both have is among the first (1 - t) * s + 1 of either: these are its keys, and no pair
+   is missed, whatever the order.
+3. A pair counts at the least n-gram that both have. A shuffle finds the keys that several classes have. With that, a class knows
+   at each key how many n-grams it can have in common from there on with any other, and leaves keys
+   where that is too few. With each of its keys a class has labels:
+   the least of its lesser keys, by several hashes. Classes of equal labels meet at a lesser key, and
+   a key whose classes all have a label in common goes. That can't happen to the least key of a pair.
+4. Each key that is left gets an R-tree of its own, packed by size and coordinates, and is joined with
    itself: node pairs whose boxes can't reach the overlap, or whose sizes are too far apart, are
    cut. A key that more than CELL classes have is split in a grid of cells, so that no task holds it whole.
-   A key that more than `hot` classes have is a common passage; a class leaves such keys out if at least three
-   quarters of its keys aren't hot, since a pair of similarity t then almost surely meets at another.
-3. A class that has a survivor in a cell sends one of its texts there. The same trees give the pairs again, which are verified exactly, on the
+5. A class that has a survivor in a cell sends one of its texts there. The same trees give the pairs again, which are verified exactly, on the
    n-grams of the whole texts, and never leave the cell: what comes out is each class's number of links and a spanning forest of
-   the links. A pair counts at the least key that both are routed by.
+   the links.
 
-With the default keys and threshold, a pair at the threshold is missed with a probability below 0.01, one of
-similarity 0.7 below 0.0001.
+Every pair of documents whose similarity is `threshold` or more is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +45,14 @@ from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, red
 GROUPS = 256
 NODE = 32
 CELL = 512
+#: The share of a set's n-grams that are counted beyond its keys. The more, the fewer classes are compared in vain.
+EXTRA = 0.1
 #: A class of more documents is heavy: its rows aren't shuffled to one task.
 HEAVY = 100_000
-CELLED = "cell long, side_a boolean, side_b boolean, cid long, doc_id long, copy long, n long, size long, less array<long>"
+#: Hashes that labels are made with, and the label of a class's least key.
+LABELS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5, 0x4B33A62ED433D4A3, 0xAAAAAAAAAAAAAAAB)]
+NONE = ~np.uint64(0)
+CELLED = "cell long, key long, side_a boolean, side_b boolean, cid long, doc_id long, copy long, n long, size long, rest long, labels binary"
 
 
 def sets_of(texts: pa.Array, n: int, hasher: WordHasher) -> Iterator[np.ndarray]:
@@ -57,29 +68,72 @@ def point_of(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
-def sketches(docs: DataFrame, n: int, keys: int) -> DataFrame:
-    """(doc_id, copy, cid, size, keys, point) of documents that have an id; of those without a word cid, keys and point are null."""
+def common_grams(docs: DataFrame, n: int, hot: int, sample: int = 10_000, most: int = 1 << 20) -> np.ndarray:
+    """N-grams that seem to be in more than `hot` documents, by a sample of them. They come last in the order of keys: what is missing here, or here by chance, costs time and changes no result."""
+    rows = docs.where("doc_id is not null and text is not null")
+    total = rows.count()
+    step = max(1, total // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            cids, sizes, own, points = [], [], [], []
+            sets = list(sets_of(batch.column(0), n, hasher))
+            grams, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+
+    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(step)) == 0).select("text")
+    counts = chosen.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(hot / step, min(hot, 4)))
+    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+#: Ranks are no less: lesser numbers among them are the sizes of sets.
+FIRST_RANK = np.uint64(1 << 32)
+
+
+class Order:
+    """Ranks of n-grams: hashes of 63 bits, those of common ones after all others."""
+
+    def __init__(self, common: np.ndarray) -> None:
+        self.common, self.maybe = common, np.zeros(1 << 22, bool)
+        self.maybe[(common >> np.uint64(42)).astype(np.int64)] = True
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The ranks of ascending hashes, ascending."""
+        ranks = grams >> np.uint64(1)
+        ranks[ranks < FIRST_RANK] |= np.uint64(1 << 62)
+        at = np.flatnonzero(self.maybe[(grams >> np.uint64(42)).astype(np.int64)])
+        if len(at):
+            at = at[self.common[np.minimum(np.searchsorted(self.common, grams[at]), len(self.common) - 1)] == grams[at]]
+            ranks[at] |= np.uint64(1 << 63)
+        ranks.sort()
+        return ranks
+
+
+def n_counted(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of the least n-grams are looked up among others': the keys and EXTRA of the set."""
+    return np.minimum(sizes, np.floor(sizes * (1 - threshold + EXTRA)).astype(np.int64) + 2)
+
+
+def class_of(grams: np.ndarray) -> np.uint64:
+    return mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(grams))
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, copy, cid, size, point) of documents that have an id; of those without a word cid and point are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            cids, sizes, points = [], [], []
             with np.errstate(over="ignore"):
                 for s in sets_of(batch.column(2), n, hasher):
                     sizes.append(len(s))
-                    if not len(s):
-                        cids.append(None)
-                        own.append(None)
-                        points.append(None)
-                        continue
-                    cids.append(int((mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
-                    point = point_of(s)
-                    own.append(s[:keys].astype(np.int64))
-                    points.append(packed(point))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["doc_id", "copy", "cid", "size", "keys", "point"])
+                    cids.append(int(class_of(s).astype(np.int64)) if len(s) else None)
+                    points.append(packed(point_of(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["doc_id", "copy", "cid", "size", "point"])
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text")
-    return source.mapInArrow(run, "doc_id long, copy long, cid long, size long, keys array<long>, point binary")
+    return source.mapInArrow(run, "doc_id long, copy long, cid long, size long, point binary")
 
 
 def need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -141,69 +195,222 @@ def counted(points: list[bytes]) -> np.ndarray:
     return out
 
 
-def padded(values: np.ndarray, lengths: np.ndarray, fill: int) -> np.ndarray:
-    """Lists as the rows of a matrix, filled up."""
-    out = np.full((len(lengths), int(lengths.max(initial=0))), fill, np.int64)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = values
-    return out
-
-
-def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by their first column, cell by cell."""
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, many cells at a time, none of them in parts."""
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
-        edges = [0, *(np.flatnonzero(np.diff(table.column(0).to_numpy())) + 1).tolist()]
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield table.slice(a, b - a)
-        rest = table.slice(edges[-1])
+        last = int(begins_of(table.column(0).to_numpy())[-1]) if table.num_rows else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
     if rest is not None and rest.num_rows:
         yield rest
 
 
-def cell_pairs(cell: pa.Table, points: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes of a cell's pairs that the R-tree can't rule out, less those that meet at a lesser key; in a cell of two sides, those across."""
-    sizes = cell.column("size").to_numpy()
-    left, right = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("side_a", "side_b"))
-    less = cell.column("less").combine_chunks()
-    values, lengths = less.flatten().to_numpy(), pc.list_value_length(less).to_numpy(zero_copy_only=False)
-    mine, other = (padded(values, lengths, fill) for fill in (0, 1))
-    i, j = tree_pairs(sizes, points, threshold)
-    for at in range(0, len(i), 1 << 13):
-        x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-        here = (left[x] & right[y]) | (right[x] & left[y])
-        x, y = x[here], y[here]
-        here = ~(mine[x][:, :, None] == other[y][:, None, :]).any((1, 2))
-        yield x[here], y[here]
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, cell by cell."""
+    for table in whole_cells(batches):
+        begins = begins_of(table.column(0).to_numpy()).tolist()
+        for a, b in zip(begins, [*begins[1:], table.num_rows]):
+            yield table.slice(a, b - a)
 
 
-def candidates(classes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """The rows of CELLED of classes that may be similar to another one in a cell.
+def cell_pairs(cells: pa.Table, points: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of the pairs of each cell that neither the R-tree can rule out nor the number of n-grams that follow the key, less those that labels show
+    to meet at a lesser key; in a cell of two sides, those across."""
+    sizes, rest = cells.column("size").to_numpy(), cells.column("rest").to_numpy()
+    left, right = (cells.column(c).to_numpy(zero_copy_only=False) for c in ("side_a", "side_b"))
+    labels = np.frombuffer(b"".join(cells.column("labels").to_pylist()), np.uint64).reshape(len(sizes), -1)
+    begins = begins_of(cells.column("cell").to_numpy())
+    members = np.diff(np.append(begins, len(sizes)))
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for m in np.unique(members[(members > 1) & (members <= NODE)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            at = begins[members == m][:, None]
+            yield (at + i).ravel(), (at + j).ravel()
+        for a, m in zip(begins[members > NODE].tolist(), members[members > NODE].tolist()):
+            i, j = tree_pairs(sizes[a : a + m], points[a : a + m], threshold)
+            yield a + i, a + j
+
+    for i, j in found():
+        for at in range(0, len(i), 1 << 12):
+            x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+            here = ((left[x] & right[y]) | (right[x] & left[y])) & (np.minimum(rest[x], rest[y]) >= need(sizes[x], sizes[y], threshold))
+            x, y = x[here], y[here]
+            here = ~((labels[x] == labels[y]) & (labels[x] != NONE)).any(1)
+            x, y = x[here], y[here]
+            here = np.minimum(points[x], points[y]).sum(1) >= need(sizes[x], sizes[y], threshold)
+            yield x[here], y[here]
+
+
+def strewn(at: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, packed): the columns' values, in bytes, that go to each part."""
+    part = (mix(at) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    names, cuts = np.unique(part[order], return_index=True)
+    rows = np.stack([c[order] for c in columns], 1)
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(rows, cuts[1:])] if len(names) else [], pa.binary())], ["part", "packed"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch], width: int) -> np.ndarray:
+    """All rows of a task that strewn() sent there, each once, in ascending order of their first two columns."""
+    held = [np.frombuffer(p.as_buffer(), np.uint64).reshape(-1, width) for batch in batches for p in batch.column(1)]
+    rows = np.concatenate(held) if held else np.zeros((0, width), np.uint64)
+    del held
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+    return rows[new]
+
+
+def begins_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins = begins_of(values)
+    return begins, np.diff(np.append(begins, len(values)))
+
+
+def labelled(keys: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
+    """Labels of the classes' ascending keys: by each of `most` hashes, the least of the same class's lesser keys, NONE at the first."""
+    out = np.full((len(keys), most), NONE)
+    for k, salt in enumerate(LABELS[:most]):
+        hashed = mix(keys ^ salt)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)]):
+            out[a + 1 : b, k] = np.minimum.accumulate(hashed[a : b - 1])
+    return out
+
 
-    A row carries the keys of its class that are less than the cell's; a pair that has one of them in common is left to it."""
+LOW = np.uint64((1 << 32) - 1)
+
+
+def sizes_and_rests(info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets, and how many n-grams from a key on they may have in common with others."""
+    return (info >> np.uint64(32)).astype(np.int64), (info & LOW).astype(np.int64)
+
+
+def with_partners(rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the rows (key, cid, info, ...), sorted by key, may have a similar one at the same key whose sizes and rests allow the overlap.
+
+    The greatest partner of a set of size s with r n-grams left has r * (1 + t) / t - s. The lesser set of a pair allows one of its own size."""
+    begins, members = runs_of(rows[:, 0])
+    if not len(begins):
+        return np.zeros(0, bool)
+    size, rest = sizes_and_rests(rows[:, 2])
+    most = (rest + 1e-6) * (1 + threshold) / threshold - size
+    lesser = most >= size
+    least = np.minimum.reduceat(np.where(lesser, size, np.iinfo(np.int64).max), begins)
+    kept = (np.repeat(least, members) <= most)
+    return kept & np.repeat(np.add.reduceat(kept.astype(np.int64), begins) > 1, members)
+
+
+def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, common: Broadcast) -> DataFrame:
+    """(key, members, cid, rest, labels): the classes of each key that may be the least of a pair."""
+    tasks = reduce_partitions(docs.sparkSession)
+    parts = 8 * tasks  # so that tasks have about equally much
+
+    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, ranks = WordHasher(), Order(common.value)
+
+        def some(keys: list[np.ndarray], cids: list[np.uint64]) -> pa.RecordBatch:
+            cid, key = np.repeat(np.array(cids, np.uint64), [len(k) for k in keys]), np.concatenate(keys)
+            return strewn(np.where(key < FIRST_RANK, cid, key), parts, key, cid)
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys, cids, held = [], [], 0
+                for s in sets_of(batch.column(0), n, hasher):
+                    if len(s):
+                        # The size, and then ranks.
+                        keys.append(np.append(np.uint64(len(s)), ranks(s)[: n_counted(len(s), threshold)]))
+                        cids.append(class_of(s))
+                        held += len(keys[-1])
+                        if held > 1 << 17:
+                            yield some(keys, cids)
+                            keys, cids, held = [], [], 0
+                if keys:
+                    yield some(keys, cids)
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches, 2)
+        members = runs_of(rows[:, 0])[1]
+        rows = rows[(rows[:, 0] < FIRST_RANK) | np.repeat(members > 1, members)]
+        with np.errstate(over="ignore"):
+            yield strewn(rows[:, 1], parts, rows[:, 1], rows[:, 0])
+
+    def with_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches, 2)
+        begins, members = runs_of(rows[:, 0])
+        size = np.repeat(rows[begins, 1], members).astype(np.int64)  # a class's first row
+        rest = np.repeat(begins + members, members) - np.arange(len(rows)) + size - n_counted(size, threshold)
+        own = np.ones(len(rows), bool)
+        own[begins] = False
+        rows, size, rest = rows[own], size[own], rest[own]
+        with np.errstate(over="ignore"):
+            labels = labelled(rows[:, 1], begins_of(rows[:, 0]), 2)
+            info = size.astype(np.uint64) << np.uint64(32) | rest.astype(np.uint64)
+            r = rest >= threshold * size - 1e-6
+            yield strewn(rows[r, 1], parts, rows[r, 1], rows[r, 0], info[r], *labels[r].T)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches, 5)
+        rows = rows[with_partners(rows, threshold)]
+        begins, members = runs_of(rows[:, 0])
+        if len(rows):
+            low, high = np.minimum.reduceat(rows[:, 3:], begins), np.maximum.reduceat(rows[:, 3:], begins)
+            rows = rows[np.repeat(~((low == high) & (low != NONE)).any(1), members)]
+        members = runs_of(rows[:, 0])[1]
+        members = np.repeat(members, members).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            yield strewn(rows[:, 1], parts, rows[:, 1], rows[:, 0], rows[:, 2], members)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches, 4)
+        with np.errstate(over="ignore"):
+            labels = labelled(rows[:, 1], begins_of(rows[:, 0]), 2)
+            yield strewn(rows[:, 1], parts, rows[:, 1], rows[:, 0], rows[:, 2], *labels.T)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches, 4)
+        with np.errstate(over="ignore"):
+            labels = labelled(rows[:, 1], begins_of(rows[:, 0]), len(LABELS))
+        for a in range(0, len(rows), 10_000):
+            r = rows[a : a + 10_000]
+            cid, key, members = (pa.array(r[:, i].view(np.int64)) for i in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays([key, members, cid, pa.array(sizes_and_rests(r[:, 2])[1]), pa.array([x.tobytes() for x in labels[a : a + 10_000]], pa.binary())], ["key", "members", "cid", "rest", "labels"])
+
+    def sent(df: DataFrame, f: Callable) -> DataFrame:
+        return df.mapInArrow(f, "part long, packed binary").repartition(tasks, "part")
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    rows = texts.join(sized(classes.select("doc_id", "copy"), 16), ["doc_id", "copy"], "left_semi").select("text")
+    for f in (by_key, by_class, with_labels, least, again, least):
+        rows = sent(rows, f)
+    return rows.mapInArrow(last, "key long, members long, cid long, rest long, labels binary")
+
+
+def candidates(docs: DataFrame, classes: DataFrame, n: int, threshold: float, common: Broadcast) -> DataFrame:
+    """The rows of CELLED of classes that may be similar to another one in a cell."""
     parts = reduce_partitions(classes.sparkSession)
-    keyed = classes.select("cid", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(shared, "key").groupBy("cid", "n_keys").agg(F.collect_list(F.struct("key", "members")).alias("met"))
-    n_hot = F.size(F.filter("met", lambda x: x["members"] > hot))
-    routed = met.select("cid", F.when(F.col("n_keys") - n_hot >= 0.75 * F.col("n_keys"), F.filter("met", lambda x: x["members"] <= hot)).otherwise(F.col("met")).alias("met"))
-    points = routed.where(F.size("met") > 0).join(classes.drop("keys"), "cid").withColumn("all", F.array_sort("met"))
-    points = points.select("*", F.posexplode("all").alias("nth", "at")).withColumn("less", F.slice("all.key", F.lit(1), F.col("nth")))
+    points = meetings(docs, classes, n, threshold, common).join(sized(classes, 300), "cid")
     # A key of s * CELL members has s sides; a class meets all sides in a cell each.
-    points = points.withColumns({"sides": F.ceil(F.col("at.members") / CELL), "key": F.col("at.key")}).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("sides")))
+    points = points.withColumn("sides", F.ceil(F.col("members") / CELL)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("sides")))
     points = points.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     cell = F.when(F.col("sides") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met")))
-    points = points.select(cell.alias("cell"), (F.col("own") <= F.col("met")).alias("side_a"), (F.col("own") >= F.col("met")).alias("side_b"), "cid", "doc_id", "copy", "n", "size", "less", "point")
+    points = points.select(cell.alias("cell"), "key", (F.col("own") <= F.col("met")).alias("side_a"), (F.col("own") >= F.col("met")).alias("side_b"), "cid", "doc_id", "copy", "n", "size", "rest", "labels", "point")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cells_of(batches):
-            if cell.num_rows > 1:
-                used = np.zeros(cell.num_rows, bool)
-                for x, y in cell_pairs(cell, counted(cell.column("point").to_pylist()), threshold):
-                    used[x] = used[y] = True
-                if used.any():
-                    yield from cell.drop_columns(["point"]).filter(pa.array(used)).combine_chunks().to_batches()
+        for cells in whole_cells(batches):
+            used = np.zeros(cells.num_rows, bool)
+            for x, y in cell_pairs(cells, counted(cells.column("point").to_pylist()), threshold):
+                used[x] = used[y] = True
+            if used.any():
+                yield from cells.drop_columns(["point"]).filter(pa.array(used)).combine_chunks().to_batches()
 
     return points.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, CELLED)
 
@@ -239,7 +446,7 @@ class Forest:
         return x != y
 
 
-def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float, common: Broadcast) -> DataFrame:
     """(a, b, links): with b null, how many documents of other classes those of the class a are similar to, in a cell; else a link of a cell's spanning forest."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     sought = written(wanted.select("doc_id", "copy").distinct())
@@ -247,7 +454,7 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
     rows = rows.select(*[c for c in wanted.columns], "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, unpacker = WordHasher(), zstandard.ZstdDecompressor()
+        hasher, unpacker, ranks = WordHasher(), zstandard.ZstdDecompressor(), Order(common.value)
         for cell in cells_of(batches):
             cids = cell.column("cid").to_numpy()
             cell = cell.take(pa.array(np.unique(cids, return_index=True)[1]))  # rows that repeat id and text
@@ -258,7 +465,9 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
             for t in cell.column("text").to_pylist():
                 sets.extend(sets_of(pa.array([unpacker.decompress(t)], pa.binary()).cast(pa.string()), n, hasher))
             sizes = np.array([len(s) for s in sets])
-            values, places = np.unique(np.concatenate(sets), return_inverse=True)
+            ranked = [ranks(s) for s in sets]
+            values, places = np.unique(np.concatenate(ranked), return_inverse=True)
+            key = np.uint64(cell.column("key")[0].as_py() % (1 << 64))
             own = np.split(places, np.cumsum(sizes)[:-1])
             links, forest, edges = np.zeros(len(cids), np.int64), Forest(len(cids)), []
             mark, marked = np.zeros(len(values), bool), -1
@@ -269,8 +478,9 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
                         if marked >= 0:
                             mark[own[marked]] = False
                         mark[own[a]], marked = True, a
-                    overlap = int(np.count_nonzero(mark[own[b]]))
-                    if overlap / (sizes[a] + sizes[b] - overlap) >= threshold:
+                    both = mark[own[b]]
+                    overlap = int(np.count_nonzero(both))
+                    if overlap / (sizes[a] + sizes[b] - overlap) >= threshold and values[own[b][both.argmax()]] == key:
                         links[a] += docs[b]
                         links[b] += docs[a]
                         if forest.join(a, b):
@@ -285,15 +495,16 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
     return ordered.mapInArrow(run, "a long, b long, links long")
 
 
-def linked(docs: DataFrame, n: int, threshold: float, keys: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, copy, cid, ...), written, and (cid, n, root, links) of each class that has a link or several documents; cid is null for documents
     without words. root: the least class of the group."""
-    sketch = written(sketches(docs, n, keys))
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n, hot))
+    sketch = written(sketches(docs, n))
     worded = sketch.where("cid is not null")
     documents = worded.select("cid", "doc_id").distinct().groupBy("cid").agg(F.count("*").alias("n"))
-    classes = worded.groupBy("cid").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.min(F.struct("doc_id", "copy")).alias("first"))
-    classes = written(classes.join(documents, "cid").select("cid", "size", "keys", "point", "first.*", "n"))
-    found = written(verified(written(candidates(classes, threshold, hot)), docs, n, threshold))
+    classes = worded.groupBy("cid").agg(F.first("size").alias("size"), F.first("point").alias("point"), F.min(F.struct("doc_id", "copy")).alias("first"))
+    classes = written(classes.join(documents, "cid").select("cid", "size", "point", "first.*", "n"))
+    found = written(verified(written(candidates(docs, classes, n, threshold, common)), docs, n, threshold, common))
     roots = components(found.where("b is not null")).select(F.col("node").alias("cid"), "root")
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")).join(roots, "cid")
     several = classes.select("cid", "n", "doc_id", "copy").join(links, "cid", "left").where("n > 1 or links is not null")
@@ -309,7 +520,7 @@ def with_classes(rows: DataFrame, classes: DataFrame, how: str) -> DataFrame:
     return few.unionByName(rows.join(heavy, "cid"))
 
 
-def jaccard_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.6, keys: int = 16, hot: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.6, hot: int = 256) -> DataFrame:
     """(doc_id, class_id, n_links) for each document: the least doc_id of those that it is linked to, over any number of similar pairs,
     and how many other documents are similar to it.
 
@@ -317,7 +528,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.6, keys: i
     doc_id are left out. A doc_id that is repeated with the same n-grams gives one row and counts once; with others, it gives a row for
     each. An empty table gives no rows.
     """
-    sketch, classes = linked(docs, n, threshold, keys, hot)
+    sketch, classes = linked(docs, n, threshold, hot)
     rows = with_classes(sketch.select("doc_id", "cid").distinct(), classes, "left")
     return rows.select("doc_id", F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
@@ -345,11 +556,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def one_of_each(docs: DataFrame, *, n: int = 3, threshold: float = 0.6, keys: int = 16, hot: int = 256) -> DataFrame:
+def one_of_each(docs: DataFrame, *, n: int = 3, threshold: float = 0.6, hot: int = 256) -> DataFrame:
     """The rows of docs, all columns, less those of documents that are linked, over any number of similar pairs, to
     one of lesser doc_id (of equal ones: of lesser hash of the text). Rows that repeat id and text are one document and stay or go together; rows
     without doc_id, and null, empty and blank texts stay. An empty table gives an empty table."""
-    sketch, classes = linked(docs, n, threshold, keys, hot)
+    sketch, classes = linked(docs, n, threshold, hot)
     its_id, its_copy = fresh(docs, "__gone", "__copy")
     gone = with_classes(sketch.select("doc_id", "copy", "cid"), classes, "inner").where(F.struct("doc_id", "copy") > F.col("least"))
     gone = written(gone.select(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy)).distinct())

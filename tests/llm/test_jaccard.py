@@ -1,8 +1,12 @@
+import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tercet.llm import common, jaccard
+from tercet.llm.common import WordHasher
 from tercet.llm.jaccard import components, jaccard_join, one_of_each
 
 
@@ -44,6 +48,21 @@ def near(prose):
     return texts
 
 
+def without_a_least_hash_in_common(most=20):
+    """Two similar texts: the `most` n-grams of least hash of each aren't in the other."""
+    r = random.Random(8)
+    words = lambda k: ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(k)]
+    shared, loose = words(300), words(90_000)
+    floor = next(jaccard.sets_of(pa.array([" ".join(shared)]), 3, WordHasher())).min()
+    triples = [" ".join(loose[i : i + 3]) for i in range(0, len(loose) - 2, 3)]
+    low = [t for t, s in zip(triples, jaccard.sets_of(pa.array(triples), 3, WordHasher())) if s[0] < floor]
+    assert len(low) >= 2 * most
+    a, b = (" ".join([*shared, *own]) for own in (low[:most], low[most : 2 * most]))
+    x, y = jaccard.sets_of(pa.array([a, b]), 3, WordHasher())
+    assert not np.intersect1d(x[:most], y).size and not np.intersect1d(y[:most], x).size
+    return a, b
+
+
 def result(df):
     assert df.columns == ["doc_id", "class_id", "n_links"]
     return sorted(map(tuple, df.collect()))
@@ -73,6 +92,23 @@ def test_hot_keys_are_split_in_cells(make, prose, monkeypatch):
     assert result(jaccard_join(make(texts))) == want and 0 < sum(links) < 220 * 219 and len(set(links)) > 20
 
 
+def test_pairs_without_a_least_hash_in_common(make, prose):
+    texts = [*without_a_least_hash_in_common(), *prose(20, 4)]
+    want = brute(list(enumerate(texts)))
+    assert want[1] == (1, 0, 1) and result(jaccard_join(make(texts))) == want
+
+
+def test_threshold_is_met_by_few_common_ngrams(make):
+    """Texts of 5 to 60 words that have just enough n-grams in common, or one too few, whatever their hashes."""
+    texts, r = [], random.Random(12)
+    for k in range(120):
+        w = [f"w{r.randrange(10**9)}" for _ in range(r.randint(7, 60))]
+        g = len(w) - 2
+        texts += [" ".join(w), " ".join([*w[: max(3, round(0.75 * g) + 2 - k % 2)], *(f"x{r.randrange(10**9)}" for _ in range(g - round(0.75 * g)))])]
+    want = brute(list(enumerate(texts)))
+    assert result(jaccard_join(make(texts))) == want and 60 < sum(n for *_, n in want) < 240
+
+
 def test_without_a_broadcast(make, prose, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(jaccard, "HEAVY", 2)
