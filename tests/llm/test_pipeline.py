@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute_pipeline
+from tests.llm.test_jaccard import without_a_least_hash_in_common
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,9 @@ def test_empty_and_odd_tables(spark, odd, make, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns and out.count() == n
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= n
+
+
+def test_near_duplicates_without_a_least_hash_in_common(spark, make, prose):
+    a, b = without_a_least_hash_in_common()
+    docs = make([*prose(5, 3), b, a])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()) == list(range(6))
