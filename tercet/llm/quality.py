@@ -1,13 +1,13 @@
 """Quality by the perplexity of an n-gram model of trusted text.
 
 The model is an interpolated modified Kneser-Ney trigram model of lower-case words, trained on documents
-labelled as of good quality: those of least hash, `sample` at most and as many as hold `sample_bytes` of text.
+labelled as of good quality: all those of one half, by a hash of their ids.
 A shuffle shards the trigrams by their middle words; their counts, continuation counts, contexts' sums and discounts and
-the interpolated probabilities come of joins within the shards. The probabilities that result, whose number the
-two bounds limit, are broadcast, and every document is scored whole, where it lies: the corpus isn't shuffled.
+the interpolated probabilities come of joins within the shards. The probabilities that result are collected and
+broadcast, and every document is scored whole, where it lies: the corpus isn't shuffled. The driver and each worker hold the whole model, whose size grows with the trusted text.
 
 A document's perplexity is exp of the mean of -log p over its words, from a sentence start before the first. A language's threshold is the
-quantile `quantile` of the perplexities of all its trusted documents that the model wasn't trained on; a language with
+quantile `quantile` of the perplexities of all its trusted documents of the other half; a language with
 fewer than `least` of them has the threshold of all together.
 """
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_buffer, least_hashed, mix, pieces, reduce_partitions, written
+from .common import WordHasher, as_buffer, mix, pieces, reduce_partitions, sized, written
 
 START = np.uint64(1)
 
@@ -196,7 +196,7 @@ def trained(docs: DataFrame) -> Model:
     if numbers[0] is None:
         return Model()
     d3, d2 = _discounts(list(numbers[:4])), _discounts(list(numbers[4:]))
-    # What is collected is bounded, as the training text is.
+    # What is collected grows with the different words and n-grams of docs.
     rows = shards.select("packed").mapInArrow(ends, "w long, k long").groupBy("w").agg(F.sum("k").alias("k")).toArrow()
     words, k = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     d1 = _discounts(_of_counts(k))
@@ -247,33 +247,20 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, n_words long, perplexity double")
 
 
-def training_ids(docs: DataFrame, trusted: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
-    """(__id) of the trusted documents that are trained on."""
-    sizes = docs.select(F.col("doc_id").alias("__id"), F.octet_length("text").alias("bytes")).where("__id is not null and bytes > 0").join(trusted, "__id").groupBy("__id").agg(F.sum("bytes").alias("bytes"))
-    rows = least_hashed(sizes.where(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)) == 0), "__id", sample).collect()
-    left, ids = sample_bytes, []
-    for row in rows:
-        if ids and row["bytes"] > left:
-            continue
-        ids.append((row["__id"],))
-        left -= row["bytes"]
-    return docs.sparkSession.createDataFrame(ids, "__id long")
-
-
-def score(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, sample_bytes: int = 12 << 20, quantile: float = 0.99, least: int = 30) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, least: int = 30) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, keep) for each row of docs, repeated ones and those with a null doc_id too.
 
     labels: (doc_id, quality); rows with a null on either side don't count, and a doc_id that is repeated is trusted if one of its labels is 1. A null or empty text
     has no words, a null perplexity and isn't kept. Without trusted documents nothing is known against a text: the perplexity is 1, the threshold null, and all
-    texts with words are kept. A null language is one of its own. Half of the trusted documents, by a hash of their ids, are never
-    trained on. An empty table gives no rows.
+    texts with words are kept. A null language is one of its own. The model is trained on all trusted documents of one half,
+    by a hash of their ids, and the thresholds come of all those of the other. An empty table gives no rows.
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    chosen = training_ids(docs, trusted, sample, sample_bytes)
-    model = trained(docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"], "left_semi"))
+    half = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2))
+    chosen, held = (written(trusted.where(half == i)) for i in (0, 1))
+    model = trained(docs.join(sized(chosen, 8), docs["doc_id"] == chosen["__id"], "left_semi"))
     scored = written(perplexities(docs, model))
-    held = trusted.join(F.broadcast(chosen), "__id", "left_anti")
-    own = scored.where("perplexity is not null").join(held, F.col("doc_id") == F.col("__id"), "left_semi")
+    own = scored.where("perplexity is not null").join(sized(held, 8), F.col("doc_id") == F.col("__id"), "left_semi")
     level = F.percentile("perplexity", F.lit(quantile)).alias("threshold")
     everywhere = own.agg(level).first()["threshold"]
     by = own.groupBy(F.col("lang").alias("__lang")).agg(level, F.count("*").alias("n")).where(F.col("n") >= least).select("__lang", F.col("threshold").alias("own"))

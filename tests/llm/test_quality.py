@@ -94,6 +94,16 @@ def test_held_out_junk_goes_and_prose_stays(spark, make, prose):
     assert {r["threshold"] for r in out.values()} == {out[0]["threshold"]}
 
 
+def test_trained_on_all_of_a_half(spark, make):
+    """More trusted text than 12 MiB, one document a row of words of its own: those of one half are all known to the model."""
+    texts = [" ".join(f"d{i}w{k % 50}" for k in range(60_000)) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1) for i in range(80)], "doc_id long, quality int")
+    half = {r[0] for r in spark.range(80).where("pmod(xxhash64(id, 1), 2) = 0").collect()}
+    out = {r["doc_id"]: r["perplexity"] for r in score(make(texts), labels).collect()}
+    assert sum(len(texts[i]) for i in half) > 12 << 20
+    assert {i for i in out if out[i] < 2} == half
+
+
 def test_odd_rows(spark, odd, make):
     labels = spark.createDataFrame([(1, 1), (None, 1), (5, 1), (5, 0), (6, None)], "doc_id long, quality int")
     out = score(odd, labels).collect()
