@@ -12,9 +12,10 @@ joined once, by one of them.
    shows to be in more than `hot` documents last. A set of s n-grams that has a similarity of t to another shares
    t * s of them at least, so the least that both have is among the first (1 - t) * s + 1 of either: these are its keys, and no pair
    is missed, whatever the order.
-3. A pair counts at the least n-gram that both have. A shuffle finds the keys that several classes have. With that, a class knows
-   at each key how many n-grams it can have in common from there on with any other, and leaves keys
-   where that is too few. With each of its keys a class has labels:
+3. A pair counts at the least n-gram that both have. Every class also looks up its n-grams below a limit that is the same for all. A shuffle
+   finds those that several classes have. With that, a class knows
+   at each key how many n-grams it can have in common from there on with any other (those below the limit that others have, and
+   all beyond it, since others needn't look those up), and leaves keys where that is too few. With each of its keys a class has labels:
    the least of its lesser keys, by several hashes. Classes of equal labels meet at a lesser key, and
    a key whose classes all have a label in common goes. That can't happen to the least key of a pair.
 4. Each key that is left gets an R-tree of its own, packed by size and coordinates, and is joined with
@@ -45,7 +46,7 @@ from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, red
 GROUPS = 256
 NODE = 32
 CELL = 512
-#: The share of a set's n-grams that are counted beyond its keys. The more, the fewer classes are compared in vain.
+#: The share of all n-grams that are below the limit, beyond the share that are keys. The more, the fewer classes are compared in vain.
 EXTRA = 0.1
 #: A class of more documents is heavy: its rows aren't shuffled to one task.
 HEAVY = 100_000
@@ -86,12 +87,13 @@ def common_grams(docs: DataFrame, n: int, hot: int, sample: int = 10_000, most:
     return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
 
 
-#: Ranks are no less: lesser numbers among them are the sizes of sets.
-FIRST_RANK = np.uint64(1 << 32)
+#: Ranks are no less: lesser numbers among them are of sets, their size and how many of their n-grams are below the limit.
+FIRST_RANK = np.uint64(1 << 62)
+HALF = np.uint64(31)
 
 
 class Order:
-    """Ranks of n-grams: hashes of 63 bits, those of common ones after all others."""
+    """Ranks of n-grams: hashes of 62 bits, those of common ones after all others."""
 
     def __init__(self, common: np.ndarray) -> None:
         self.common, self.maybe = common, np.zeros(1 << 22, bool)
@@ -99,8 +101,7 @@ class Order:
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The ranks of ascending hashes, ascending."""
-        ranks = grams >> np.uint64(1)
-        ranks[ranks < FIRST_RANK] |= np.uint64(1 << 62)
+        ranks = grams >> np.uint64(2) | FIRST_RANK
         at = np.flatnonzero(self.maybe[(grams >> np.uint64(42)).astype(np.int64)])
         if len(at):
             at = at[self.common[np.minimum(np.searchsorted(self.common, grams[at]), len(self.common) - 1)] == grams[at]]
@@ -109,9 +110,16 @@ class Order:
         return ranks
 
 
-def n_counted(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """How many of the least n-grams are looked up among others': the keys and EXTRA of the set."""
-    return np.minimum(sizes, np.floor(sizes * (1 - threshold + EXTRA)).astype(np.int64) + 2)
+def limit(threshold: float) -> np.uint64:
+    """The rank below which every n-gram is looked up among others'."""
+    return FIRST_RANK + np.uint64(int(min(1.0, 1 - threshold + EXTRA) * (1 << 62)))
+
+
+def looked_up(ranks: np.ndarray, threshold: float) -> np.ndarray:
+    """Of ascending ranks, the keys and those below the limit; before them a number that has the set's size and how many are below the limit."""
+    size, below = len(ranks), int(np.searchsorted(ranks, limit(threshold)))
+    keys = min(size, math.floor(size * (1 - threshold) + 1e-6) + 1)
+    return np.append(np.uint64(size << int(HALF) | below), ranks[: max(keys, below)])
 
 
 def class_of(grams: np.ndarray) -> np.uint64:
@@ -326,8 +334,7 @@ def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, comm
                 keys, cids, held = [], [], 0
                 for s in sets_of(batch.column(0), n, hasher):
                     if len(s):
-                        # The size, and then ranks.
-                        keys.append(np.append(np.uint64(len(s)), ranks(s)[: n_counted(len(s), threshold)]))
+                        keys.append(looked_up(ranks(s), threshold))
                         cids.append(class_of(s))
                         held += len(keys[-1])
                         if held > 1 << 17:
@@ -346,8 +353,12 @@ def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, comm
     def with_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = gathered(batches, 2)
         begins, members = runs_of(rows[:, 0])
-        size = np.repeat(rows[begins, 1], members).astype(np.int64)  # a class's first row
-        rest = np.repeat(begins + members, members) - np.arange(len(rows)) + size - n_counted(size, threshold)
+        if not len(begins):
+            return
+        first = rows[begins, 1]  # a class's first row has its numbers
+        sizes, below = (first >> HALF).astype(np.int64), (first & np.uint64((1 << int(HALF)) - 1)).astype(np.int64)
+        found = np.add.reduceat((rows[:, 1] < limit(threshold)).astype(np.int64), begins)
+        size, rest = np.repeat(sizes, members), np.repeat(sizes - below + found + begins, members) - np.arange(len(rows))
         own = np.ones(len(rows), bool)
         own[begins] = False
         rows, size, rest = rows[own], size[own], rest[own]

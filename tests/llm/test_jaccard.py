@@ -109,6 +109,22 @@ def test_threshold_is_met_by_few_common_ngrams(make):
     assert result(jaccard_join(make(texts))) == want and 60 < sum(n for *_, n in want) < 240
 
 
+def parts_of_longer_texts(count=150):
+    """Texts and beginnings of them, a little above the threshold or just at it: the pairs' sizes differ, and so do the places up to which n-grams are looked up."""
+    texts, r = [], random.Random(5)
+    for k in range(count):
+        w = [f"w{r.randrange(10**9)}" for _ in range(r.randint(20, 150))]
+        g = len(w) - 2
+        texts += [" ".join(w), " ".join(w[: -int(-g * (0.6 + 0.01 * (k % 6)) // 1) + 2])]
+    return texts
+
+
+def test_threshold_is_met_by_parts_of_longer_texts(make):
+    texts = parts_of_longer_texts()
+    want = brute(list(enumerate(texts)))
+    assert sum(n for *_, n in want) == len(texts) and result(jaccard_join(make(texts))) == want
+
+
 def test_without_a_broadcast(make, prose, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(jaccard, "HEAVY", 2)

@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute_pipeline
-from tests.llm.test_jaccard import without_a_least_hash_in_common
+from tests.llm.test_jaccard import parts_of_longer_texts, without_a_least_hash_in_common
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +71,8 @@ def test_near_duplicates_without_a_least_hash_in_common(spark, make, prose):
     a, b = without_a_least_hash_in_common()
     docs = make([*prose(5, 3), b, a])
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()) == list(range(6))
+
+
+def test_parts_of_longer_texts_are_near_duplicates(spark, make):
+    docs = make(parts_of_longer_texts())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()) == list(range(0, 300, 2))
