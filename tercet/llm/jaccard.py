@@ -46,6 +46,8 @@ from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, red
 GROUPS = 256
 NODE = 32
 CELL = 512
+#: Pairs whose points are compared at once: the arrays take 12 MiB.
+AT_ONCE = 1 << 12
 #: The share of all n-grams that are below the limit, beyond the share that are keys. The more, the fewer classes are compared in vain.
 EXTRA = 0.1
 #: A class of more documents is heavy: its rows aren't shuffled to one task.
@@ -164,8 +166,8 @@ def tree_pairs(sizes: np.ndarray, points: np.ndarray, threshold: float) -> tuple
     for depth in range(len(levels) - 1, -1, -1):
         top, least, most = levels[depth]
         keep_l, keep_r = [], []
-        for at in range(0, len(left), 1 << 16):
-            a, b = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+        for at in range(0, len(left), AT_ONCE):
+            a, b = left[at : at + AT_ONCE], right[at : at + AT_ONCE]
             near = (most[a] >= threshold * least[b] - 1e-9) & (most[b] >= threshold * least[a] - 1e-9)
             a, b = a[near], b[near]
             reach = np.minimum(top[a], top[b]).sum(1) >= need(least[a], least[b], threshold)
@@ -244,8 +246,8 @@ def cell_pairs(cells: pa.Table, points: np.ndarray, threshold: float) -> Iterato
             yield a + i, a + j
 
     for i, j in found():
-        for at in range(0, len(i), 1 << 12):
-            x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+        for at in range(0, len(i), AT_ONCE):
+            x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
             here = ((left[x] & right[y]) | (right[x] & left[y])) & (np.minimum(rest[x], rest[y]) >= need(sizes[x], sizes[y], threshold))
             x, y = x[here], y[here]
             here = ~((labels[x] == labels[y]) & (labels[x] != NONE)).any(1)
@@ -472,17 +474,19 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float, commo
             cids, docs = cell.column("cid").to_numpy(), cell.column("n").to_numpy()
             if len(cids) < 2:
                 continue
-            sets = []
-            for t in cell.column("text").to_pylist():
-                sets.extend(sets_of(pa.array([unpacker.decompress(t)], pa.binary()).cast(pa.string()), n, hasher))
-            sizes = np.array([len(s) for s in sets])
-            ranked = [ranks(s) for s in sets]
-            values, places = np.unique(np.concatenate(ranked), return_inverse=True)
+            own, points = [], np.empty((len(cids), GROUPS), np.int32)
+            for i, t in enumerate(cell.column("text")):
+                for s in sets_of(pa.array([unpacker.decompress(t.as_buffer())], pa.binary()).cast(pa.string()), n, hasher):
+                    points[i] = point_of(s)
+                    own.append(ranks(s))
+            sizes = np.array([len(s) for s in own])
+            values = np.unique(np.concatenate(own))
             key = np.uint64(cell.column("key")[0].as_py() % (1 << 64))
-            own = np.split(places, np.cumsum(sizes)[:-1])
+            for i, s in enumerate(own):
+                own[i] = np.searchsorted(values, s).astype(np.int32)
             links, forest, edges = np.zeros(len(cids), np.int64), Forest(len(cids)), []
             mark, marked = np.zeros(len(values), bool), -1
-            for x, y in cell_pairs(cell, np.array([point_of(s) for s in sets]), threshold):
+            for x, y in cell_pairs(cell.drop_columns(["text"]), points, threshold):
                 order = np.argsort(x, kind="stable")
                 for a, b in zip(x[order].tolist(), y[order].tolist()):
                     if a != marked:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -139,6 +140,18 @@ def test_one_of_each(make, prose):
     assert sorted(r["doc_id"] for r in one_of_each(make(texts)).collect()) == want
 
 
+def test_trees_take_little_memory():
+    """A cell's points are compared in parts: those of all pairs at once don't fit in a worker."""
+    points = 1 + np.random.default_rng(3).integers(0, 2, (2 * jaccard.CELL, jaccard.GROUPS)).astype(np.int32)
+    sizes = points.sum(1)
+    tracemalloc.start()
+    x, y = jaccard.tree_pairs(sizes, points, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == len(points) * (len(points) - 1) // 2 and len({*zip(x.tolist(), y.tolist())}) == len(x)
+    assert peak < 100 << 20
+
+
 def test_repeated_ids(make):
     """Other texts under the id of a copy stay."""
     a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white"
