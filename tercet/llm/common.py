@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +52,28 @@ def _delete_all() -> None:
         _delete(*_PATHS.pop())
 
 
-def written(df: DataFrame) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session, until the end of the block; in names _ stands for a dot."""
+    values = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs
-    only the tasks that it was running. The table goes when the driver's process ends, or before by alone()."""
+    only the tasks that it was running. The files of its shuffles go when it is there. The table goes when the driver's process ends, or before by alone().
+    batch: how many rows at most go to a Python worker at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tercet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", **({"spark_sql_execution_arrow_maxRecordsPerBatch": str(batch)} if batch else {})):
+        df.write.parquet(path)
     _PATHS.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +88,18 @@ def alone(make: Callable[[], DataFrame], before: int = 0) -> DataFrame:
     return out
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; at the end of a task its worker gives back the memory that it else keeps while it waits for another."""
+
+    def released_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return released_run
+
+
 def tables_written() -> int:
     return len(_PATHS)
 

@@ -41,13 +41,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, reduce_partitions, sized, written
+from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, reduce_partitions, released, sized, written
 
 GROUPS = 256
 NODE = 32
 CELL = 512
 #: Pairs whose points are compared at once: the arrays take 12 MiB.
 AT_ONCE = 1 << 12
+#: Rows that go to a Python worker at once: whole texts of as many are several times in its memory and in its executor's.
+BATCH = 1000
 #: The share of all n-grams that are below the limit, beyond the share that are keys. The more, the fewer classes are compared in vain.
 EXTRA = 0.1
 #: A class of more documents is heavy: its rows aren't shuffled to one task.
@@ -85,7 +87,7 @@ def common_grams(docs: DataFrame, n: int, hot: int, sample: int = 10_000, most:
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
 
     chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(step)) == 0).select("text")
-    counts = chosen.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(hot / step, min(hot, 4)))
+    counts = chosen.mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > max(hot / step, min(hot, 4)))
     return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").toArrow().column(0).to_numpy().view(np.uint64))
 
 
@@ -143,7 +145,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], ["doc_id", "copy", "cid", "size", "point"])
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text")
-    return source.mapInArrow(run, "doc_id long, copy long, cid long, size long, point binary")
+    return source.mapInArrow(released(run), "doc_id long, copy long, cid long, size long, point binary")
 
 
 def need(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -398,13 +400,13 @@ def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, comm
             yield pa.RecordBatch.from_arrays([key, members, cid, pa.array(sizes_and_rests(r[:, 2])[1]), pa.array([x.tobytes() for x in labels[a : a + 10_000]], pa.binary())], ["key", "members", "cid", "rest", "labels"])
 
     def sent(df: DataFrame, f: Callable) -> DataFrame:
-        return df.mapInArrow(f, "part long, packed binary").repartition(tasks, "part")
+        return df.mapInArrow(released(f), "part long, packed binary").repartition(tasks, "part")
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     rows = texts.join(sized(classes.select("doc_id", "copy"), 16), ["doc_id", "copy"], "left_semi").select("text")
     for f in (by_key, by_class, with_labels, least, again, least):
         rows = sent(rows, f)
-    return rows.mapInArrow(last, "key long, members long, cid long, rest long, labels binary")
+    return rows.mapInArrow(released(last), "key long, members long, cid long, rest long, labels binary")
 
 
 def candidates(docs: DataFrame, classes: DataFrame, n: int, threshold: float, common: Broadcast) -> DataFrame:
@@ -425,7 +427,7 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, threshold: float, co
             if used.any():
                 yield from cells.drop_columns(["point"]).filter(pa.array(used)).combine_chunks().to_batches()
 
-    return points.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, CELLED)
+    return points.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(released(run), CELLED)
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -439,7 +441,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
             packed = [packer.compress(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "copy", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, copy long, text binary")
+    return docs.mapInArrow(released(run), "doc_id long, copy long, text binary")
 
 
 class Forest:
@@ -507,19 +509,19 @@ def verified(wanted: DataFrame, docs: DataFrame, n: int, threshold: float, commo
                 yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[at], np.zeros(len(edges), np.int64)]))], ["a", "b", "links"])
 
     ordered = rows.repartition(reduce_partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "a long, b long, links long")
+    return ordered.mapInArrow(released(run), "a long, b long, links long")
 
 
 def linked(docs: DataFrame, n: int, threshold: float, hot: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, copy, cid, ...), written, and (cid, n, root, links) of each class that has a link or several documents; cid is null for documents
     without words. root: the least class of the group."""
     common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, n, hot))
-    sketch = written(sketches(docs, n))
+    sketch = written(sketches(docs, n), BATCH)
     worded = sketch.where("cid is not null")
     documents = worded.select("cid", "doc_id").distinct().groupBy("cid").agg(F.count("*").alias("n"))
     classes = worded.groupBy("cid").agg(F.first("size").alias("size"), F.first("point").alias("point"), F.min(F.struct("doc_id", "copy")).alias("first"))
     classes = written(classes.join(documents, "cid").select("cid", "size", "point", "first.*", "n"))
-    found = written(verified(written(candidates(docs, classes, n, threshold, common)), docs, n, threshold, common))
+    found = written(verified(written(candidates(docs, classes, n, threshold, common), BATCH), docs, n, threshold, common), BATCH)
     roots = components(found.where("b is not null")).select(F.col("node").alias("cid"), "root")
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")).join(roots, "cid")
     several = classes.select("cid", "n", "doc_id", "copy").join(links, "cid", "left").where("n > 1 or links is not null")

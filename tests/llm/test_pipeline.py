@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from tercet.llm.common import released, written
 from tests.llm import brute_pipeline
 from tests.llm.test_jaccard import parts_of_longer_texts, without_a_least_hash_in_common
 
@@ -76,3 +79,28 @@ def test_near_duplicates_without_a_least_hash_in_common(spark, make, prose):
 def test_parts_of_longer_texts_are_near_duplicates(spark, make):
     docs = make(parts_of_longer_texts())
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()) == list(range(0, 300, 2))
+
+
+def test_workers_get_few_rows_at_once_and_give_memory_back(spark, make, prose):
+    """Beside an executor's heap, whole texts in large batches and what idle workers keep took it beyond its memory."""
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", make(prose(300, 40)).coalesce(1)
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    out = [r["n"] for r in written(docs.mapInArrow(released(sizes), "n long"), 100).collect()]
+    assert sum(out) == 300 and max(out) == 100 and spark.conf.get(key) == before
+
+    def kept(batches):
+        held = [np.ones(1000) for _ in range(20_000)]
+        del held[1:-1:2]
+        yield from batches
+
+    def resident(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([int(open("/proc/self/statm").read().split()[1]) * 4096])], ["n"])
+
+    least = [released(f)(iter([])) for f in (resident, kept, resident)]
+    (a,), _, (b,) = (list(x) for x in least)
+    assert b.column(0)[0].as_py() - a.column(0)[0].as_py() < 32 << 20
