@@ -78,9 +78,9 @@ def written(df: DataFrame, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def alone(make: Callable[[], DataFrame], before: int = 0) -> DataFrame:
-    """written(make()); then what was written on the way to it is deleted, from the table number `before` on."""
-    out = written(make())
+def alone(make: Callable[[], DataFrame], before: int = 0, batch: int | None = None) -> DataFrame:
+    """written(make(), batch); then what was written on the way to it is deleted, from the table number `before` on."""
+    out = written(make(), batch)
     *gone, own = _PATHS[before:]
     _PATHS[before:] = [own]
     for x in gone:

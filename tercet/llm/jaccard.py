@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_buffer, fresh, mix, ngram_hashes, pieces, reduce_partitions, released, sized, written
+from .common import WordHasher, alone, as_buffer, fresh, mix, ngram_hashes, pieces, reduce_partitions, released, sized, tables_written, written
 
 GROUPS = 256
 NODE = 32
@@ -50,6 +51,8 @@ CELL = 512
 AT_ONCE = 1 << 12
 #: Rows that go to a Python worker at once: whole texts of as many are several times in its memory and in its executor's.
 BATCH = 1000
+#: So many times the texts are read, and a share of their looked-up n-grams shuffles, whose files then go: the disk holds one share's at once.
+SHARES = 2
 #: The share of all n-grams that are below the limit, beyond the share that are keys. The more, the fewer classes are compared in vain.
 EXTRA = 0.1
 #: A class of more documents is heavy: its rows aren't shuffled to one task.
@@ -322,13 +325,19 @@ def with_partners(rows: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, common: Broadcast) -> DataFrame:
-    """(key, members, cid, rest, labels): the classes of each key that may be the least of a pair."""
+    """(key, members, cid, rest, labels): the classes of each key that may be the least of a pair. What the shuffles on the way leave is written, so that their files can go."""
     tasks = reduce_partitions(docs.sparkSession)
     parts = 8 * tasks  # so that tasks have about equally much
 
-    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_key(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
         hasher, ranks = WordHasher(), Order(common.value)
 
+        def of_share(s: np.ndarray) -> np.ndarray:
+            """The first, a class's numbers, is of the share 0."""
+            here = s % np.uint64(SHARES) == share
+            here[0] = share == 0
+            return s[here]
+
         def some(keys: list[np.ndarray], cids: list[np.uint64]) -> pa.RecordBatch:
             cid, key = np.repeat(np.array(cids, np.uint64), [len(k) for k in keys]), np.concatenate(keys)
             return strewn(np.where(key < FIRST_RANK, cid, key), parts, key, cid)
@@ -338,7 +347,7 @@ def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, comm
                 keys, cids, held = [], [], 0
                 for s in sets_of(batch.column(0), n, hasher):
                     if len(s):
-                        keys.append(looked_up(ranks(s), threshold))
+                        keys.append(of_share(looked_up(ranks(s), threshold)))
                         cids.append(class_of(s))
                         held += len(keys[-1])
                         if held > 1 << 17:
@@ -403,8 +412,17 @@ def meetings(docs: DataFrame, classes: DataFrame, n: int, threshold: float, comm
         return df.mapInArrow(released(f), "part long, packed binary").repartition(tasks, "part")
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
-    rows = texts.join(sized(classes.select("doc_id", "copy"), 16), ["doc_id", "copy"], "left_semi").select("text")
-    for f in (by_key, by_class, with_labels, least, again, least):
+    texts = texts.join(sized(classes.select("doc_id", "copy"), 16), ["doc_id", "copy"], "left_semi").select("text")
+
+    def shared_keys(share: int) -> DataFrame:
+        return written(sent(texts, partial(by_key, share=share)).mapInArrow(released(by_class), "part long, packed binary"), BATCH)
+
+    def least_keys() -> DataFrame:
+        rows = reduce(DataFrame.union, [shared_keys(share) for share in range(SHARES)]).repartition(tasks, "part")
+        return sent(rows, with_labels).mapInArrow(released(least), "part long, packed binary")
+
+    rows = alone(least_keys, tables_written(), BATCH).repartition(tasks, "part")
+    for f in (again, least):
         rows = sent(rows, f)
     return rows.mapInArrow(released(last), "key long, members long, cid long, rest long, labels binary")
 

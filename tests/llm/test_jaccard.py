@@ -175,3 +175,20 @@ def test_odd_rows(odd):
 def test_empty(make):
     assert jaccard_join(make([])).count() == 0 and one_of_each(make([])).count() == 0
     assert result(jaccard_join(make([None, ""]))) == [(0, 0, 0), (1, 1, 0)] and one_of_each(make([None, ""])).count() == 2
+
+
+def test_shuffle_files_go_on_the_way(spark, make, prose):
+    """What is shuffled for a written table is gone when the table is there; the join's shuffles don't all lie on the disk at once."""
+    docs = make(near(prose))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (lambda all: (all.apply(i) for i in range(all.length())))(manager.getAllFiles().toSeq()) if f.getName().startswith("shuffle_")}
+    before = files()
+    out = common.written(docs.repartition(3, "doc_id").groupBy("source").count())
+    assert not files() - before and out.count() == 3
+
+
+@pytest.mark.parametrize("shares", [1, 3])
+def test_shares_of_keys(make, prose, monkeypatch, shares):
+    monkeypatch.setattr(jaccard, "SHARES", shares)
+    texts = near(prose)
+    assert result(jaccard_join(make(texts))) == brute(list(enumerate(texts)))
