@@ -2,9 +2,10 @@
 
 The model is an interpolated modified Kneser-Ney trigram model of lower-case words, trained on documents
 labelled as of good quality: all those of one half, by a hash of their ids.
-A shuffle shards the trigrams by their middle words; their counts, continuation counts, contexts' sums and discounts and
-the interpolated probabilities come of joins within the shards. The probabilities that result are collected and
-broadcast, and every document is scored whole, where it lies: the corpus isn't shuffled. The driver and each worker hold the whole model, whose size grows with the trusted text.
+Shuffles shard the trigrams by their middle words, a share at a time; all counts that a word's probability takes, but its own, are in the part of
+the word before it. The parts are written to the shared folder, and every document is scored whole, where it lies: for each BLOCK words a task reads
+the parts from there, one at a time. The corpus isn't shuffled, and neither the driver nor a worker holds more of the model than a part and the words' own
+probabilities. The reading grows with the corpus times the trusted text.
 
 A document's perplexity is exp of the mean of -log p over its words, from a sentence start before the first. A language's threshold is the
 quantile `quantile` of the perplexities of all its trusted documents of the other half; a language with
@@ -15,14 +16,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_buffer, mix, pieces, reduce_partitions, sized, written
+from .common import WordHasher, as_buffer, mix, pieces, reduce_partitions, released, sized, written
+from .jaccard import BATCH, strewn
 
 START = np.uint64(1)
 
@@ -77,25 +83,68 @@ class Table:
         return out
 
 
+def stowed(a: np.ndarray) -> bytes:
+    """An array's bytes, those of equal significance together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def fetched(x: bytes, kind: type) -> np.ndarray:
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(whole.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked keys are among the ascending ones, and where those are."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    here = np.flatnonzero(keys[at] == asked)
+    return here, at[here]
+
+
 @dataclass
 class Model:
+    """Counts by the middle word, in files of which one part at a time is read; the words' own probabilities."""
+
     unknown: float = 1.0  # the probability of a word never seen
-    one: Table = field(default_factory=lambda: Table(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
-    two: Table = field(default_factory=lambda: Table(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
-    three: Table = field(default_factory=lambda: Table(np.zeros(0, np.uint64), np.zeros(0)))
+    one: Table = field(default_factory=lambda: Table(np.zeros(0, np.uint64), np.zeros(0)))
+    d2: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    d3: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    parts: int = 1
+    files: list[str] = field(default_factory=list)
+
+    def shards(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for file in self.files:
+            system, path = pa.fs.FileSystem.from_uri(file)
+            for batch in pq.read_table(path, filesystem=system, partitioning=None).to_batches(max_chunksize=1):
+                part, *columns = (c[0].as_py() for c in batch.columns)
+                yield part, [fetched(x, kind) for x, kind in zip(columns, KINDS)]
 
     def probabilities(self, words: np.ndarray, begins: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             u, v = contexts(words, begins)
-            p3 = self.three.values[0][self.three.places(key3(u, v, words))].astype(float)
-            left = np.flatnonzero(np.isnan(p3))
-            u, v, w = u[left], v[left], words[left]
-            p2 = self.two.values[0][self.two.places(key2(v, w))].astype(float)
-            miss = np.isnan(p2)
-            p1 = self.one.values[0][self.one.places(w[miss])].astype(float)
-            p2[miss] = np.nan_to_num(p1, nan=self.unknown) * np.nan_to_num(self.one.values[1][self.one.places(v[miss])].astype(float), nan=1.0)
-            p3[left] = p2 * np.nan_to_num(self.two.values[1][self.two.places(key2(u, v))].astype(float), nan=1.0)
-        return p3
+            p = np.nan_to_num(self.one.values[0][self.one.places(words)].astype(float), nan=self.unknown)
+            part = (mix(v) % np.uint64(self.parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+            del part
+            for i, (k1, t1, g1, k2, c2, e2, t2, g2, k3, c3) in self.shards():
+                at = order[cuts[i] : cuts[i + 1]]
+                if not len(at):
+                    continue
+                own, w = p[at], words[at]
+                here, x = found(k1, v[at])
+                own[here] *= g1[x]
+                total = np.ones(len(at))
+                total[here] = t1[x]
+                here, x = found(k2, key2(v[at], w))
+                own[here] += (c2[x] - self.d2[np.minimum(c2[x], 3)]) / total[here]
+                pair = key2(u[at], v[at])
+                here, x = found(e2, pair)
+                own[here] *= g2[x]
+                total[here] = t2[x]
+                here, x = found(k3, mix(pair + w))
+                own[here] += (c3[x] - self.d3[np.minimum(c3[x], 3)]) / total[here]
+                p[at] = own
+        return p
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -138,94 +187,105 @@ class Shard:
         total = np.add.reduceat(k, cuts)
         return total, np.add.reduceat(d[np.minimum(k, 3)], cuts) / total
 
-    def probabilities(self, p1: Table, d2: np.ndarray, d3: np.ndarray) -> dict[str, tuple[np.ndarray, ...]]:
-        """Keys and values: g1 of single words as contexts, p2 and g2 of pairs, p3."""
+    def tables(self, d2: np.ndarray, d3: np.ndarray) -> list[np.ndarray]:
+        """By ascending keys: of single words as contexts total and share freed, of pairs counts, of pairs as contexts total and share freed, of trigrams counts."""
         cuts = np.flatnonzero(np.append(True, self.pair_v[1:] != self.pair_v[:-1]))
-        total, g1 = self.contexts(self.pair_k, cuts, d2)
-        n = np.diff(np.append(cuts, len(self.pair_v)))
-        p2 = (self.pair_k - d2[np.minimum(self.pair_k, 3)]) / np.repeat(total, n) + np.repeat(g1, n) * p1.values[0][p1.places(self.pair_w)]
         ends = np.flatnonzero(np.append(True, (self.v[1:] != self.v[:-1]) | (self.u[1:] != self.u[:-1])))
-        total, g2 = self.contexts(self.c, ends, d3)
-        m = np.diff(np.append(ends, len(self.v)))
-        lower = np.empty(len(self.w))
-        lower[self.by_pair] = np.repeat(p2, np.diff(np.append(self.pairs, len(self.w))))
-        p3 = (self.c - d3[np.minimum(self.c, 3)]) / np.repeat(total, m) + np.repeat(g2, m) * lower
-        return {"g1": (self.pair_v[cuts], g1), "p2": (key2(self.pair_v, self.pair_w), p2), "g2": (key2(self.u[ends], self.v[ends]), g2), "p3": (key3(self.u, self.v, self.w), p3)}
+        out: list[np.ndarray] = []
+        for keys, *values in (
+            (self.pair_v[cuts], *self.contexts(self.pair_k, cuts, d2)),
+            (key2(self.pair_v, self.pair_w), self.pair_k),
+            (key2(self.u[ends], self.v[ends]), *self.contexts(self.c, ends, d3)),
+            (key3(self.u, self.v, self.w), self.c),
+        ):
+            order = np.argsort(keys)
+            out += [keys[order], *(x[order] for x in values)]
+        return [x.astype(kind) for x, kind in zip(out, KINDS)]
+
+
+#: What Shard.tables() gives, and a part of the model has in its row.
+KINDS = [np.uint64, np.int64, np.float64, np.uint64, np.int64, np.uint64, np.int64, np.float64, np.uint64, np.int64]
+#: So many times the training text is read, and a share of its trigrams shuffles, whose files then go.
+SHARES = 4
+#: Words that are scored with one reading of the model.
+BLOCK = 1 << 21
 
 
 def trained(docs: DataFrame) -> Model:
     """The model of the texts of docs, all of them.
 
-    One shuffle brings all trigrams of a middle word together, and with them the pairs that begin with it and the pairs that end with
-    it as contexts; a shard is kept as one row. Only the words' own counts take another."""
+    A shuffle brings all trigrams of a middle word together, and with them the pairs that begin with it and the pairs that end with
+    it as contexts. It is done twice, a share of the words at a time: for the numbers of counts and the words' own counts, and for the model's parts, which are written and not collected."""
     spark = docs.sparkSession
+    parts = SHARES * reduce_partitions(spark)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for words, begins in words_of(batch.column(0), hasher):
-                if len(words):
-                    with np.errstate(over="ignore"):
-                        u, v = contexts(words, begins)
-                        _, first, c = np.unique(key3(u, v, words), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (u, v, words)), pa.array(c, pa.int64())], ["u", "v", "w", "c"])
-
-    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if held:
-            u, v, w, c = (np.concatenate(x) for x in zip(*held))
-            s = Shard(u.view(np.uint64), v.view(np.uint64), w.view(np.uint64), c)
-            packed = pa.array([x.tobytes() for x in (s.u, s.v, s.w, s.c.astype(np.int64))], pa.binary())
-            lists = [pa.array([packed.to_pylist()], pa.list_(pa.binary())), pa.array([_of_counts(s.c)], pa.list_(pa.int64())), pa.array([_of_counts(s.pair_k)], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(lists, ["packed", "three", "two"])
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+                with np.errstate(over="ignore"):
+                    u, v = contexts(words, begins)
+                    own = mix(v) % np.uint64(parts) % np.uint64(SHARES) == share
+                    u, v, w = u[own], v[own], words[own]
+                    _, first, c = np.unique(key3(u, v, w), return_index=True, return_counts=True)
+                    yield strewn(v[first], parts, u[first], v[first], w[first], c.astype(np.uint64))
+
+    def gathered_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                *words, c = packed
-                yield Shard(*(np.frombuffer(x, np.uint64) for x in words), np.frombuffer(c, np.int64))
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in unpacked(batches):
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(np.frombuffer(x, np.uint64).reshape(-1, 4))
+        for part in list(held):
+            u, v, w, c = np.concatenate(held.pop(part)).T.copy()
+            yield part, Shard(u, v, w, c.astype(np.int64))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: words and how many different ones precede them; 3 and 2: the numbers of trigrams' and pairs' counts."""
+        for _, s in gathered_shards(batches):
             w, n = np.unique(s.pair_w, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n, pa.int64())], ["w", "k"])
+            for kind, key, k in ((0, w.view(np.int64), n), (3, np.arange(4), np.array(_of_counts(s.c))), (2, np.arange(4), np.array(_of_counts(s.pair_k)))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key, pa.int64()), pa.array(k, pa.int64())], ["kind", "w", "k"])
 
-    trigrams = docs.select("text").where("text is not null").mapInArrow(count, "u long, v long, w long, c long")
-    shards = written(trigrams.repartition(reduce_partitions(spark), "v").mapInArrow(sharded, "packed array<binary>, three array<long>, two array<long>"))
-    numbers = shards.select(*(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("three", "two") for i in range(4))).first()
-    if numbers[0] is None:
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d2, d3 = shared.value
+        for part, s in gathered_shards(batches):
+            with np.errstate(over="ignore"):
+                tables = s.tables(d2, d3)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([stowed(x)], pa.binary()) for x in tables)], ["part", *(f"x{i}" for i in range(len(KINDS)))])
+
+    texts = docs.select("text").where("text is not null")
+
+    def sent(share: int) -> DataFrame:
+        return texts.mapInArrow(released(partial(count, share=share)), "part long, packed binary").repartition(reduce_partitions(spark), "part")
+
+    counts = [written(sent(i).mapInArrow(released(numbers), "kind byte, w long, k long").groupBy("kind", "w").agg(F.sum("k").alias("k")), BATCH) for i in range(SHARES)]
+    # What is collected grows with the different words of docs, not with their n-grams.
+    rows = written(reduce(DataFrame.union, counts).groupBy("kind", "w").agg(F.sum("k").alias("k"))).toArrow()
+    kind, key, k = (rows.column(i).to_numpy() for i in range(3))
+    if not len(key):
         return Model()
-    d3, d2 = _discounts(list(numbers[:4])), _discounts(list(numbers[4:]))
-    # What is collected grows with the different words and n-grams of docs.
-    rows = shards.select("packed").mapInArrow(ends, "w long, k long").groupBy("w").agg(F.sum("k").alias("k")).toArrow()
-    words, k = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    d2, d3 = (_discounts(k[kind == i][np.argsort(key[kind == i])].tolist()) for i in (2, 3))
+    words, k = key[kind == 0].view(np.uint64), k[kind == 0]
     d1 = _discounts(_of_counts(k))
     unknown = d1[np.minimum(k, 3)].sum() / k.sum() / (len(k) + 1)
     p1 = Table(words, (k - d1[np.minimum(k, 3)]) / k.sum() + unknown)
-    shared = spark.sparkContext.broadcast((p1, d2, d3))
-    kinds = ("g1", "p2", "g2", "p3")
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in unpacked(batches):
-            with np.errstate(over="ignore"):
-                for kind, (keys, x) in s.probabilities(*shared.value).items():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kinds.index(kind), np.int8)), pa.array(keys.view(np.int64)), pa.array(x.astype(np.float32))], ["kind", "key", "value"])
-
-    rows = shards.select("packed").mapInArrow(values, "kind byte, key long, value float").toArrow()
-    kind, keys, x = (rows.column(i).to_numpy() for i in range(3))
-    del rows
-    own = {name: (keys[kind == i].view(np.uint64), x[kind == i]) for i, name in enumerate(kinds)}
-    del kind, keys, x
-    return Model(unknown, joined((p1.keys[:-1], p1.values[0][:-1]), own["g1"]), joined(own["p2"], own["g2"]), Table(*own["p3"]))
+    shared = spark.sparkContext.broadcast((d2, d3))
+    schema = "part long, " + ", ".join(f"x{i} binary" for i in range(len(KINDS)))
+    files = [f for i in range(SHARES) for f in written(sent(i).mapInArrow(released(stored), schema), BATCH).inputFiles()]
+    return Model(float(unknown), p1, d2, d3, parts, files)
 
 
-def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> Table:
-    """Both sides' values by key; a missing one is not a number."""
-    keys = np.union1d(a[0], b[0])
-    out = [np.full(len(keys), np.nan, np.float32) for _ in range(2)]
-    for column, (k, x) in zip(out, (a, b)):
-        column[np.searchsorted(keys, k)] = x
-    return Table(keys, *out)
+def blocks(texts: pa.Array, hasher: WordHasher) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What words_of() gives, about BLOCK words at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for last in (False, True):
+        for piece in words_of(texts, hasher) if not last else [None]:
+            if piece is not None:
+                held.append(piece)
+            starts = np.cumsum([0, *(len(w) for w, _ in held)])
+            if held and (last or starts[-1] >= BLOCK):
+                yield np.concatenate([w for w, _ in held]), np.concatenate([*(b[:-1] + a for (_, b), a in zip(held, starts)), starts[-1:]])
+                held = []
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -236,7 +296,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         model, hasher = shared.value, WordHasher()
         for batch in batches:
             counts, means = [], []
-            for words, begins in words_of(batch.column(2), hasher):
+            for words, begins in blocks(batch.column(2), hasher):
                 n = np.diff(begins)
                 sums = np.append(0.0, np.cumsum(-np.log(model.probabilities(words, begins))))
                 counts.append(n)
@@ -244,7 +304,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
             n, mean = (np.concatenate(x) if x else np.zeros(0) for x in (counts, means))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(np.exp(mean), pa.float64(), mask=n == 0)], ["doc_id", "lang", "n_words", "perplexity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, n_words long, perplexity double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(released(run), "doc_id long, lang string, n_words long, perplexity double")
 
 
 def score(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.99, least: int = 30) -> DataFrame:

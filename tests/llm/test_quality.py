@@ -1,12 +1,14 @@
 import math
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tercet.llm.common import WordHasher
-from tercet.llm.quality import Table, perplexities, score, trained, words_of
+from tercet.llm import quality
+from tercet.llm.common import WordHasher, pieces
+from tercet.llm.quality import Table, blocks, perplexities, score, trained, words_of
 
 
 def discounts(counts):
@@ -111,3 +113,14 @@ def test_odd_rows(spark, odd, make):
     none = score(odd, labels.where("false")).collect()
     assert all(r["keep"] == (r["n_words"] > 0) and r["threshold"] is None for r in none)
     assert score(make([]), labels).count() == 0
+
+
+def test_the_model_is_read_in_parts(make, prose, monkeypatch):
+    """What the driver and the workers hold is each word's own probability and where the parts are; texts are scored in blocks."""
+    texts = prose(60, 15)
+    model, brute = trained(make(texts)), Brute(texts)
+    assert len(pickle.dumps(model)) < 100_000 and len(dict(model.shards())) > 8
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    monkeypatch.setattr(quality, "pieces", lambda offsets: pieces(offsets, 500))
+    got = [x for words, begins in blocks(pa.array([*texts, None, ""]), WordHasher()) for x in np.add.reduceat(np.append(-np.log(model.probabilities(words, begins)), 0), begins[:-1]) / np.maximum(np.diff(begins), 1)]
+    assert len(got) == 62 and got[:60] == pytest.approx([math.log(brute.perplexity(t)) for t in texts], rel=1e-5)
